@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, sharding
+from tessera.llm import chat, quality, sharding
 from tessera.llm.shared import read_table
 
 
@@ -16,6 +16,10 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -29,6 +33,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_hilbert_sharding": op5_hilbert_sharding,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
