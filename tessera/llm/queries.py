@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, quality, sharding
+from tessera.llm import chat, jaccard_join, quality, sharding
 from tessera.llm.shared import read_table
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.document_components(read_table(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(read_table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -32,6 +36,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows up to which a table of a few numbers is broadcast; beyond it, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows. df should be materialized: it is counted."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and continue from the written copy.
 
