@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, jaccard_join, quality, sharding
+from tessera.llm import chat, decontamination, jaccard_join, pieces, quality, secrets, sharding
 from tessera.llm.shared import read_table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.document_components(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -36,9 +48,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_secret_scan": op2_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
