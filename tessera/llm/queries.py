@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, jaccard_join, pieces, quality, secrets, sharding, topk, toxicity
+from tessera.llm import chat, decontamination, html, jaccard_join, pieces, quality, secrets, sharding, topk, toxicity
 from tessera.llm.shared import read_table
 
 
@@ -32,6 +32,10 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_hilbert_sharding": op5_hilbert_sharding,
+    "op6_html_extraction": op6_html_extraction,
     "op7_exact_topk": op7_exact_topk,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
