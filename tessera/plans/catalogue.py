@@ -1,6 +1,596 @@
-"""Registered queries and the DuckDB SQL that gives the same rows."""
+"""Registered queries and the DuckDB SQL that gives the same rows.
+
+The tables are not source collections, so each operator runs on the nearest table. The file view takes documents
+as files named source/lang/doc_id and an extension by language. Two snapshots of it are compared: the previous
+one lacks every tenth document and has other hashes for every seventh; the current one lacks every eleventh.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.functions.hashing import token_bucket
+from tessera.operators import architecture, chunking, context, events, indexing, metadata, search, symbols
+from tessera.sources.tables import read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+LIMIT = 5
+FILES = """WITH files AS (SELECT doc_id, text, lang, source, sha256(text) AS hash, concat_ws('/', source, lang, doc_id::VARCHAR ||
+ CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.ts' WHEN 'de' THEN '.go' WHEN 'es' THEN '.java' END) AS path,
+ CASE lang WHEN 'en' THEN 'Python' WHEN 'fr' THEN 'TypeScript' WHEN 'de' THEN 'Go' WHEN 'es' THEN 'Java' END AS language FROM documents),
+prev AS (SELECT path, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' || hash ELSE hash END AS hash FROM files WHERE doc_id % 10 <> 0),
+cur AS (SELECT path, doc_id, hash FROM files WHERE doc_id % 11 <> 0),
+diff AS (SELECT coalesce(c.path, p.path) AS path, CASE WHEN c.path IS NULL THEN 'removed' WHEN c.hash = p.hash THEN 'unchanged' ELSE 'changed' END AS status,
+ c.hash AS cur_hash, p.hash AS prev_hash FROM cur c FULL JOIN prev p ON c.path = p.path)
+"""
+TOKENS = """WITH tok AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_./-]{1,63}'))) AS token FROM documents),
+entries AS (SELECT doc_id, (('0x' || substr(sha256(token), 1, 8))::BIGINT % 4096)::INTEGER AS idx, count(*)::DOUBLE AS val FROM tok GROUP BY ALL),
+qtok AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_./-]{1,63}'))) AS token FROM benchmark),
+q AS (SELECT item_id, (('0x' || substr(sha256(token), 1, 8))::BIGINT % 4096)::INTEGER AS idx, count(*)::DOUBLE AS val FROM qtok GROUP BY ALL),
+sscore AS (SELECT q.item_id AS query_id, e.doc_id AS id, sum(q.val * e.val) AS score FROM q JOIN entries e USING (idx) GROUP BY ALL),
+sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sscore QUALIFY rank <= 15),
+vec AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+nrm AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM vec),
+dscore AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(b.v, a.v) / (b.n * a.n), 9) AS score
+ FROM nrm a JOIN benchmark ON item_id = a.vec_id, nrm b),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dscore QUALIFY rank <= 15)
+"""
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def file_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    ext = metadata.lookup({"en": ".py", "fr": ".ts", "de": ".go", "es": ".java"}, F.col("lang"))
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), ext))
+    files = docs.select("doc_id", "text", "lang", "source", path.alias("path"), F.sha2(F.col("text"), 256).alias("hash"))
+    return files.withColumn("language", metadata.language_of(F.col("path")))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = file_view(spark, sf_dir).select("path", "doc_id", "hash")
+    mangled = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), F.col("hash"))).otherwise(F.col("hash"))
+    return files.where("doc_id % 11 <> 0"), files.where("doc_id % 10 <> 0").withColumn("hash", mangled)
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = metadata.lookup({"signup": "queued", "view": "processing", "click": "progress", "error": "retrying", "purchase": "completed"}, F.col("event_type"))
+    return event_log(spark, sf_dir).withColumn("status", status)
+
+
+# Retrieval
+
+
+@query(TOKENS + """, fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM sparse UNION ALL SELECT query_id, id, rank FROM dense) GROUP BY ALL)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score::DOUBLE AS score FROM fused QUALIFY rank <= 5""")
+def hybrid_search(spark, sf_dir):
+    queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    points = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors = search.with_norm(read_table(spark, sf_dir, "embeddings"), "vec_id")
+    asked = vectors.join(F.broadcast(queries.select(F.col("query_id").alias("id"))), "id", "left_semi").withColumnRenamed("id", "query_id")
+    return search.hybrid_search(queries, asked, points, vectors, LIMIT)
+
+
+@query(TOKENS + "SELECT query_id, rank::INTEGER AS rank, id, score FROM sparse")
+def sparse_topk(spark, sf_dir):
+    q = search.sparse_entries(read_table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
+    e = search.sparse_entries(read_table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("doc_id", "id")
+    return search.best(search.sparse_scores(q, e), LIMIT * search.OVERFETCH).select("query_id", "rank", "id", "score")
+
+
+@query(TOKENS + "SELECT query_id, rank::INTEGER AS rank, id, score FROM dense")
+def dense_topk(spark, sf_dir):
+    vectors = search.with_norm(read_table(spark, sf_dir, "embeddings"), "vec_id")
+    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    asked = vectors.join(F.broadcast(items), "id", "left_semi").withColumnRenamed("id", "query_id")
+    return search.best(search.dense_scores(asked, vectors), LIMIT * search.OVERFETCH).select("query_id", "rank", "id", "score")
+
+
+@query(TOKENS + "SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (60 + rank), 9) DESC, id))::INTEGER AS rank, id, round(1.0 / (60 + rank), 9)::DOUBLE AS score FROM dense QUALIFY rank <= 5")
+def dense_only_fallback(spark, sf_dir):
+    """Queries whose text has no token leave the sparse branch empty."""
+    vectors = search.with_norm(read_table(spark, sf_dir, "embeddings"), "vec_id")
+    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("1 + 1 = 2").alias("text"))
+    asked = vectors.join(F.broadcast(items.select(F.col("query_id").alias("id"))), "id", "left_semi").withColumnRenamed("id", "query_id")
+    points = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.hybrid_search(items, asked, points, vectors, LIMIT)
+
+
+@query(TOKENS + """, kept AS (SELECT s.query_id, s.id, s.score FROM sscore s JOIN documents d ON d.doc_id = s.id WHERE d.lang = 'en')
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score FROM kept QUALIFY rank <= 5""")
+def filtered_search(spark, sf_dir):
+    files = file_view(spark, sf_dir).withColumn("file_type", T.file_type(F.col("path")))
+    points = search.filtered(files, file_type="py", language="Python", module_type="")
+    q = search.sparse_entries(read_table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
+    e = search.sparse_entries(points, "doc_id").withColumnRenamed("doc_id", "id")
+    return search.best(search.sparse_scores(q, e), LIMIT).select("query_id", "rank", "id", "score")
+
+
+@query(TOKENS + """SELECT doc_id, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS indices, string_agg(val::BIGINT::VARCHAR, ',' ORDER BY idx) AS "values" FROM entries GROUP BY doc_id""")
+def sparse_vector_pack(spark, sf_dir):
+    packed = search.pack_sparse(search.sparse_entries(read_table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    whole = F.transform("values", lambda v: v.cast("long").cast("string"))
+    return packed.select("doc_id", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"), F.array_join(whole, ",").alias("values"))
+
+
+@query(TOKENS + """SELECT (('0x' || substr(sha256(token), 1, 8))::BIGINT % 4096)::INTEGER AS idx, count(DISTINCT token) AS tokens, count(*) AS uses FROM tok GROUP BY ALL""")
+def token_bucket_collisions(spark, sf_dir):
+    words = read_table(spark, sf_dir, "documents").select(F.explode(search.tokens(F.col("text"))).alias("token"))
+    counted = words.groupBy("token").count()
+    return counted.groupBy(token_bucket(F.col("token"), search.DIMENSIONS).alias("idx")).agg(F.count("*").alias("tokens"), F.sum("count").alias("uses"))
+
+
+# Incremental indexing
+
+
+@query(FILES + "SELECT * FROM diff")
+def incremental_diff(spark, sf_dir):
+    return indexing.diff(*snapshots(spark, sf_dir))
+
+
+@query(FILES + """SELECT path, doc_id, hash FROM prev WHERE path NOT IN (SELECT path FROM diff WHERE status IN ('changed', 'removed'))
+UNION ALL SELECT path, doc_id, hash FROM cur WHERE path IN (SELECT path FROM diff WHERE status = 'changed')""")
+def retained_merge(spark, sf_dir):
+    cur, prev = snapshots(spark, sf_dir)
+    changes = indexing.diff(cur, prev)
+    return indexing.merge_snapshot(prev, indexing.changed_only(cur, changes), changes)
+
+
+@query(FILES + "SELECT path, doc_id FROM cur WHERE path IN (SELECT path FROM diff WHERE status = 'changed')")
+def changed_semi(spark, sf_dir):
+    cur, prev = snapshots(spark, sf_dir)
+    return indexing.changed_only(cur, indexing.diff(cur, prev)).select("path", "doc_id")
+
+
+@query(FILES + "SELECT path, doc_id FROM prev WHERE path NOT IN (SELECT path FROM diff WHERE status IN ('changed', 'removed'))")
+def stale_delete(spark, sf_dir):
+    cur, prev = snapshots(spark, sf_dir)
+    return indexing.delete_by_path(prev, indexing.stale_paths(indexing.diff(cur, prev))).select("path", "doc_id")
+
+
+@query(FILES + """, fresh AS (SELECT doc_id % 500 AS key, doc_id, hash FROM cur QUALIFY row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id DESC) = 1),
+old AS (SELECT doc_id AS key, doc_id, hash FROM prev)
+SELECT * FROM old WHERE key NOT IN (SELECT key FROM fresh) UNION ALL SELECT * FROM fresh""")
+def keyed_upsert_last_wins(spark, sf_dir):
+    cur, prev = snapshots(spark, sf_dir)
+    old = prev.select(F.col("doc_id").alias("key"), "doc_id", "hash")
+    return indexing.upsert(old, cur.select((F.col("doc_id") % 500).alias("key"), "doc_id", "hash"), "key", "doc_id")
+
+
+@query(FILES + """, u AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || ':' || path || '::module::module::1')) AS h FROM files)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INTEGER % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM u""")
+def point_ids(spark, sf_dir):
+    files = file_view(spark, sf_dir)
+    chunk = T.chunk_id(F.col("path"), F.lit("module"), F.lit(None).cast("string"), F.lit(1))
+    return files.select("doc_id", indexing.point_id(F.col("source"), chunk).alias("point_id"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, sf_dir):
+    return file_view(spark, sf_dir).select("doc_id", "hash")
+
+
+# Metadata
+
+
+@query(FILES + "SELECT language, count(*) AS files, row_number() OVER (ORDER BY count(*) DESC, min(string_split(path, '/')))::INTEGER AS position FROM files WHERE language IS NOT NULL GROUP BY language")
+def language_counts(spark, sf_dir):
+    w = Window.orderBy(F.desc("files"), "first")
+    return metadata.language_counts(file_view(spark, sf_dir)).select("language", "files", F.row_number().over(w).alias("position"))
+
+
+@query(FILES + """, named AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'build/' || path WHEN 1 THEN path || '.PNG' WHEN 2 THEN path ELSE 'lib/.pyc' END AS path FROM files)
+SELECT doc_id, len(list_intersect(string_split(path, '/'), ['.git','node_modules','dist','build','__pycache__','.next','.turbo','.venv','venv'])) > 0
+ OR lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) IN ('.exe','.dll','.so','.dylib','.bin','.o','.a','.class','.jar','.pyc','.pyo','.jpg','.jpeg','.png','.gif','.webp','.ico','.pdf','.zip','.tar','.gz','.7z') AS ignored,
+ lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) IN ('.py','.ts','.tsx','.js','.jsx','.mjs','.cjs','.go','.java') AS parsed FROM named""")
+def ignored_paths(spark, sf_dir):
+    files, n = file_view(spark, sf_dir), F.col("doc_id") % 4
+    named = F.when(n == 0, F.concat(F.lit("build/"), "path")).when(n == 1, F.concat("path", F.lit(".PNG"))).when(n == 2, F.col("path")).otherwise("lib/.pyc")
+    files = files.withColumn("path", named)
+    return files.select("doc_id", metadata.is_ignored(F.col("path")).alias("ignored"), metadata.is_parsed(F.col("path")).alias("parsed"))
+
+
+@query("""SELECT page_id, CASE WHEN contains(url, '.') THEN lower(regexp_extract(url, '[^.]*$')) END AS file_type, regexp_extract(url, '[^/]*$') AS name FROM pages""")
+def file_types(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", T.file_type(F.col("url")).alias("file_type"), T.base_name(F.col("url")).alias("name"))
+
+
+@query(FILES + """SELECT count(*) AS file_count, sum(len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_./-]{1,63}')))::BIGINT AS tokens_count,
+ sum(len(string_split(text, ' ')))::BIGINT AS words_count, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM files""")
+def repo_stats(spark, sf_dir):
+    files = file_view(spark, sf_dir).withColumns({"tokens": search.tokens(F.col("text")), "words": F.split("text", " ", -1)})
+    return metadata.parsed_stats(files, ["tokens", "words"]).withColumn("languages", F.array_join("languages", ","))
+
+
+@query(FILES + "SELECT source, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM files GROUP BY source")
+def distinct_sorted_sets(spark, sf_dir):
+    sets = [F.array_join(metadata.sorted_set(F.col(c)), ",").alias(f"{c}s") for c in ("language", "lang")]
+    return file_view(spark, sf_dir).groupBy("source").agg(*sets)
+
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN name = 'package.json' AND contains(text, '"express"') THEN 'Express' END,
+ CASE WHEN name <> 'package.json' AND contains(lower(text), 'django') THEN 'Django' END, CASE WHEN name <> 'package.json' AND contains(lower(text), 'fastapi') THEN 'FastAPI' END,
+ CASE WHEN name <> 'package.json' AND contains(lower(text), 'flask') THEN 'Flask' END, CASE WHEN name = 'package.json' AND contains(text, '"react"') THEN 'React' END) AS frameworks
+FROM (SELECT doc_id, ['package.json', 'pyproject.toml', 'requirements.txt'][(doc_id % 3 + 1)::INTEGER] AS name,
+ text || CASE doc_id % 5 WHEN 0 THEN ' "react" Flask' WHEN 1 THEN ' "express": 4, DJANGO' WHEN 2 THEN ' fastapi' ELSE '' END AS text FROM documents)""")
+def framework_sniff(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    name = F.element_at(F.array(F.lit("package.json"), F.lit("pyproject.toml"), F.lit("requirements.txt")), (F.col("doc_id") % 3 + 1).cast("int"))
+    n = F.col("doc_id") % 5
+    added = F.when(n == 0, ' "react" Flask').when(n == 1, ' "express": 4, DJANGO').when(n == 2, " fastapi").otherwise("")
+    found = metadata.content_frameworks(name, F.concat("text", added))
+    return docs.select("doc_id", F.array_join(F.array_sort(found), ",").alias("frameworks"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)(/[^?#]*)?', 1) AS scheme, regexp_extract(url, '^(https?)://([^/]+)(/[^?#]*)?', 2) AS host,
+ regexp_matches(url, '^https://[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$') AS is_repository,
+ regexp_extract(url, '^https://[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$', 1) AS owner,
+ regexp_extract(url, '^https://[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$', 2) AS name FROM pages""")
+def url_parse(spark, sf_dir):
+    shape, parts = r"^https://[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$", r"^(https?)://([^/]+)(/[^?#]*)?"
+    url = F.col("url")
+    return read_table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract(url, parts, 1).alias("scheme"), F.regexp_extract(url, parts, 2).alias("host"), url.rlike(shape).alias("is_repository"),
+        F.regexp_extract(url, shape, 1).alias("owner"), F.regexp_extract(url, shape, 2).alias("name"),
+    )
+
+
+@query("""SELECT page_id, coalesce(CASE WHEN length(html) - length(replace(html, chr(39), '')) >= 2 THEN string_split(html, chr(39))[2] END,
+ CASE WHEN length(html) - length(replace(html, '"', '')) >= 2 THEN string_split(html, '"')[2] END, CASE WHEN length(html) - length(replace(html, '`', '')) >= 2 THEN string_split(html, '`')[2] END, '') AS quoted FROM pages""")
+def quoted_values(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", T.quoted_value(F.col("html")).alias("quoted"))
+
+
+@query("""WITH x AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages),
+y AS (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS n FROM x)
+SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY min(n))::INTEGER AS position FROM y GROUP BY page_id, link""")
+def html_links(spark, sf_dir):
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))
+    rows = read_table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("n", "link"))
+    return rows.select("page_id", "link", (F.col("n") + 1).alias("position"))
+
+
+# Chunks
+
+
+@query(FILES + """SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR contains(lower(source || '/' || CASE doc_id % 5 WHEN 0 THEN 'capital' ELSE 'x' END), 'api') THEN 'route_module'
+ WHEN doc_id % 2 = 0 THEN 'class_module' ELSE 'module' END AS module_type FROM files""")
+def module_type(spark, sf_dir):
+    path = F.concat("source", F.lit("/"), F.when(F.col("doc_id") % 5 == 0, "capital").otherwise("x"))
+    some, none = F.array(F.lit("x")), F.array().cast("array<string>")
+    kind = chunking.module_type(path, F.when(F.col("doc_id") % 2 == 0, some).otherwise(none), F.when(F.col("doc_id") % 3 == 0, some).otherwise(none))
+    return file_view(spark, sf_dir).select("doc_id", kind.alias("module_type"))
+
+
+@query(FILES + """SELECT doc_id, 'File: ' || path || chr(10) || 'Language: ' || language || chr(10) || 'Module type: module' || chr(10) || 'Chunk type: module' || chr(10) || 'Source ref: ' || path || ':1-' || length(text)
+ || chr(10) || 'Dependencies: ' || source || ', ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Routes: GET /' || lang ELSE '' END AS header FROM files""")
+def chunk_headers(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    rows = file_view(spark, sf_dir).withColumns({
+        "module_type": F.lit("module"), "chunk_type": F.lit("module"), "symbol": F.lit(None).cast("string"), "start_line": F.lit(1), "end_line": F.length("text"),
+        "dependencies": F.array("source", "lang"), "related": none,
+        "routes": F.when(F.col("doc_id") % 2 == 0, F.array(T.route_label(F.lit("get"), F.concat(F.lit("/"), "lang")))).otherwise(none),
+    })
+    return rows.select("doc_id", chunking.header().alias("header"))
+
+
+def parsed_files(spark, sf_dir) -> DataFrame:
+    """The file view with symbols; the first two lines of a document stand for a class and a function."""
+    files = file_view(spark, sf_dir).withColumn("n", F.size(T.split_lines(F.col("text"))))
+    symbol = lambda name, a, b: F.struct(F.lit(name).alias("name"), F.lit(a).alias("start_line"), F.lit(b).alias("end_line"))
+    return files.select(
+        "doc_id", "path", "language", "text", F.array("source").alias("dependencies"), F.array().cast("array<string>").alias("outline"),
+        F.array(symbol("f", 1, 1), symbol("g", 2, 2)).alias("functions"),
+        F.array(F.struct(F.lit("C").alias("name"), F.array(F.lit("f")).alias("methods"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))).alias("classes"),
+        F.array(F.struct(F.lit("f").alias("name"), F.lit("get").alias("method"), F.concat(F.lit("/"), "lang").alias("route")), F.struct(F.lit("h").alias("name"), F.lit("post").alias("method"), F.lit("/h").alias("route"))).alias("apis"),
+        F.array(F.struct(F.lit("C").alias("name"))).alias("exports"),
+    )
+
+
+@query(FILES + r""", l AS (SELECT path, regexp_split_to_array(text, '\r\n|[\n\r\v\f]') AS lines FROM files),
+b AS (SELECT path, regexp_replace(coalesce(lines[1], ''), '^\s+|\s+$', '', 'g') AS one, regexp_replace(coalesce(lines[2], ''), '^\s+|\s+$', '', 'g') AS two,
+ regexp_replace(coalesce(lines[1], '') || CASE WHEN len(lines) > 1 THEN chr(10) || lines[2] ELSE '' END, '^\s+|\s+$', '', 'g') AS joined FROM l)
+SELECT path, 1 AS family, 0 AS at, 'C' AS symbol, length(joined) AS chars FROM b UNION ALL SELECT path, 2, 0, 'f', length(one) FROM b UNION ALL SELECT path, 2, 1, 'g', length(two) FROM b
+UNION ALL SELECT path, 3, 0, 'f', length(one) FROM b UNION ALL SELECT path, 3, 1, 'h', length('post /h' || chr(10) || 'Handler: h') FROM b""")
+def chunk_families_union(spark, sf_dir):
+    rows = chunking.bodies(parsed_files(spark, sf_dir)).where("family > 0")
+    return rows.select("path", "family", "at", "symbol", F.length("body").alias("chars"))
+
+
+@query()
+def chunk_parts(spark, sf_dir):
+    return chunking.chunks(parsed_files(spark, sf_dir)).select("chunk_id", "path", "chunk_type", "source_ref", "part_index", "part_count", "text_length", "text")
+
+
+@query(r"""WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\v\f]') AS p FROM documents), m AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM l)
+SELECT doc_id, len(p)::INTEGER AS lines, regexp_replace(array_to_string(p[2:3], chr(10)), '^\s+|\s+$', '', 'g') AS part FROM m""")
+def line_slice(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", T.split_lines(F.col("text")).alias("l"))
+    return rows.select("doc_id", F.size("l").alias("lines"), T.line_slice(F.col("l"), 2, 3).alias("part"))
+
+
+@query("""WITH x AS (SELECT page_id, regexp_extract_all(html, '<(h1|p|li)>', 1) AS tags, regexp_extract_all(html, 'href="([^"]+)"', 1) AS names FROM pages),
+y AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS n, names FROM x) SELECT page_id, (n - 1)::INTEGER AS at, tag, coalesce(names[n], tag) AS name FROM y""")
+def positional_zip(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    tags, names = (F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in ("<(h1|p|li)>", 'href="([^"]+)"'))
+    rows = pages.select("page_id", names.alias("names"), F.posexplode(tags).alias("at", "tag"))
+    return rows.select("page_id", "at", "tag", F.coalesce(F.try_element_at("names", F.col("at") + 1), "tag").alias("name"))
+
+
+@query("""SELECT o_orderkey, first(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_quantity > 25) AS first_part, count(l_partkey) FILTER (l_quantity > 25) AS parts
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def first_match_lookup(spark, sf_dir):
+    items = read_table(spark, sf_dir, "lineitem").where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    found = items.agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("first_part"), F.count("*").alias("parts"))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey").join(found, "o_orderkey", "left")
+    return orders.select("o_orderkey", "first_part", F.coalesce("parts", F.lit(0)).alias("parts"))
+
+
+@query(TOKENS + """, i AS (SELECT item_id, token AS word FROM qtok WHERE length(token) >= 8)
+SELECT doc_id, i.item_id, count(DISTINCT word) AS words FROM tok JOIN i ON word = token GROUP BY ALL HAVING count(DISTINCT word) >= 3""")
+def array_containment_join(spark, sf_dir):
+    """Items of whose long words a document contains three: containment in an array as a join on its elements."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("word"))
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("word"))
+    joined = docs.join(F.broadcast(items.where(F.length("word") >= 8)), "word")
+    return joined.groupBy("doc_id", "item_id").agg(F.count("*").alias("words")).where("words >= 3")
+
+
+# Context
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8")
+def chat_last_n(spark, sf_dir):
+    return context.last_messages(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE role = 'user' AND text <> '')
+SELECT conv_id, turn, array_to_string(list_filter(list(t) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), lambda x: x <> ''), chr(10)) AS query FROM u""")
+def chat_retrieval_query(spark, sf_dir):
+    return context.retrieval_queries(read_table(spark, sf_dir, "conversations"))
+
+
+@query(r"""WITH l AS (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8)
+SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || CASE WHEN length(t) > 300 THEN regexp_replace(t[1:300], '\s+$', '') || '...' ELSE t END, chr(10) ORDER BY turn) AS history FROM l GROUP BY conv_id""")
+def chat_history_format(spark, sf_dir):
+    return context.format_history(read_table(spark, sf_dir, "conversations"), 300)
+
+
+@query(FILES + """, f AS (SELECT lang, source, min(doc_id) AS o FROM files GROUP BY ALL) SELECT lang, string_agg(source, ',' ORDER BY o) AS refs FROM f GROUP BY lang""")
+def ordered_references(spark, sf_dir):
+    firsts = file_view(spark, sf_dir).groupBy("lang", "source").agg(F.min("doc_id").alias("o"))
+    return firsts.groupBy("lang").agg(F.array_join(context.distinct_in_order(F.col("o"), F.col("source")), ",").alias("refs"))
+
+
+@query(TOKENS + """, d AS (SELECT item_id // 2 AS doc, item_id % 2 AS query_no, s.id, s.rank FROM sparse s JOIN benchmark ON item_id = query_id WHERE rank <= 5)
+SELECT doc::VARCHAR AS doc_type, query_no::INTEGER AS query_no, rank::INTEGER AS rank, id FROM d QUALIFY row_number() OVER (PARTITION BY doc, id ORDER BY query_no, rank) = 1""")
+def doc_context_union(spark, sf_dir):
+    """Pairs of neighbouring items stand for the two queries of a kind of document."""
+    found = sparse_topk(spark, sf_dir).where(F.col("rank") <= LIMIT)
+    doc = F.floor(F.col("query_id") / 2).cast("string")
+    rows = found.select(doc.alias("doc_type"), (F.col("query_id") % 2).cast("int").alias("query_no"), "rank", "id")
+    return context.first_by_query(rows, "id")
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 300 THEN regexp_replace(t[1:300], '\s+$', '') || chr(10) || '...' ELSE t END AS content FROM t""")
+def context_truncate(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", T.truncate(T.strip(F.col("text")), 300, "\n...").alias("content"))
+
+
+# Architecture
+
+
+def counted_files(spark, sf_dir) -> DataFrame:
+    api = F.when(F.contains("text", F.lit("token")), 1).otherwise(0)
+    return file_view(spark, sf_dir).select("path", "language", api.alias("api_count"), (F.col("doc_id") % 2).cast("int").alias("dependency_count"))
+
+
+GROUPS = FILES + """, counted AS (SELECT path, language, source AS name, CASE WHEN contains(text, 'token') THEN 1 ELSE 0 END AS a, (doc_id % 2)::INTEGER AS d FROM files),
+g AS (SELECT name, sum(a)::BIGINT AS apis, sum(d)::BIGINT AS dependencies, count(*) AS files FROM counted GROUP BY name HAVING sum(a) > 0 OR sum(d) >= 2)
+"""
+
+
+@query(GROUPS + "SELECT * FROM g UNION ALL SELECT 'collection', sum(a)::BIGINT, sum(d)::BIGINT, count(*) FROM counted WHERE NOT EXISTS (FROM g) HAVING count(*) > 0")
+def service_groups(spark, sf_dir):
+    files = counted_files(spark, sf_dir)
+    return architecture.service_groups(files, files.select("path"), "collection")
+
+
+@query(GROUPS + """SELECT CASE WHEN s >= 2 THEN 'microservices' WHEN l > 1 AND s > 0 THEN 'modular_monolith' ELSE 'monolith' END AS architecture_type, s AS services, l AS languages
+FROM (SELECT count(*) FILTER (name <> 'packages' AND (apis > 0 OR dependencies > 2)) AS s FROM g), (SELECT count(DISTINCT coalesce(language, '')) AS l FROM counted)""")
+def architecture_type(spark, sf_dir):
+    files = counted_files(spark, sf_dir)
+    return architecture.architecture_type(architecture.service_groups(files, files.select("path"), "collection"), files)
+
+
+EDGES = """WITH o AS (SELECT 'order/' || lpad(l_orderkey::VARCHAR, 12, '0') AS path, list('part ' || l_partkey ORDER BY l_linenumber, 'part ' || l_partkey) AS deps FROM lineitem GROUP BY l_orderkey ORDER BY path LIMIT 80),
+n AS (SELECT *, row_number() OVER (ORDER BY path)::INTEGER AS file_no FROM o), e AS (SELECT file_no, unnest(range(len(deps[:8])))::INTEGER AS dep_no, path, unnest(deps[:8]) AS dependency FROM n),
+edges AS (SELECT *, 'n_' || replace(path, '/', '_') AS source, 'n_' || replace(dependency, ' ', '_') AS target FROM e QUALIFY row_number() OVER (PARTITION BY path, dependency ORDER BY file_no, dep_no) = 1)
+"""
+
+
+def order_files(spark, sf_dir) -> DataFrame:
+    items = read_table(spark, sf_dir, "lineitem")
+    part = F.concat(F.lit("part "), F.col("l_partkey"))
+    deps = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", part.alias("p")))), lambda x: x["p"])
+    path = F.concat(F.lit("order/"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"))
+    return items.groupBy(path.alias("path")).agg(deps.alias("dependencies"))
+
+
+@query(EDGES + "SELECT file_no, dep_no, path, dependency, source, target FROM edges")
+def dependency_edges(spark, sf_dir):
+    return architecture.dependency_edges(order_files(spark, sf_dir)).select("file_no", "dep_no", "path", "dependency", "source", "target")
+
+
+@query(EDGES + """, nodes AS (SELECT id, min((file_no, dep_no, label)) AS x FROM (SELECT source AS id, file_no, -1 AS dep_no, path AS label FROM edges UNION ALL SELECT target, file_no, dep_no, dependency FROM edges) GROUP BY id),
+lines AS (SELECT x[1] AS f, x[2] AS d, 0 AS p, '    ' || id || '["' || x[3] || '"]' AS line FROM nodes UNION ALL SELECT file_no, dep_no, 1, '    ' || source || ' --> ' || target FROM edges)
+SELECT '```mermaid' || chr(10) || 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY f, d, p) || chr(10) || '```' AS diagram FROM lines""")
+def mermaid_render(spark, sf_dir):
+    return architecture.dependency_diagram(architecture.dependency_edges(order_files(spark, sf_dir)))
+
+
+@query(r"""SELECT c_custkey, 'repo_chunks_' || coalesce(nullif(regexp_replace(regexp_replace(lower(c_name), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'repository') AS slug FROM customer""")
+def slug(spark, sf_dir):
+    return read_table(spark, sf_dir, "customer").select("c_custkey", T.slug(F.col("c_name"), "repo_chunks").alias("slug"))
+
+
+# Events and jobs
+
+
+@query("""SELECT user_id, string_agg(DISTINCT event_type || '/' || (event_id % 7) || '.md', ',' ORDER BY event_type || '/' || (event_id % 7) || '.md') AS files FROM events GROUP BY user_id""")
+def changed_files_union(spark, sf_dir):
+    name = F.array(F.concat("event_type", F.lit("/"), (F.col("event_id") % 7).cast("string"), F.lit(".md")))
+    none = F.array().cast("array<string>")
+    kind = F.col("event_id") % 3
+    commit = F.struct(F.when(kind == 0, name).otherwise(none).alias("added"), F.when(kind == 1, name).otherwise(none).alias("modified"), F.when(kind == 2, name).alias("removed"))
+    commits = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(commit).alias("commits"))
+    return commits.select("user_id", F.array_join(events.changed_files(F.col("commits")), ",").alias("files"))
+
+
+@query("""WITH p AS (SELECT page_id, lower(url || CASE page_id % 5 WHEN 0 THEN '/readme' WHEN 1 THEN '/api/x' WHEN 2 THEN '/docker' WHEN 3 THEN '/package.json' ELSE '' END) AS u FROM pages),
+r AS (SELECT page_id, ends_with(u, 'readme') OR ends_with(u, '.md') OR contains(u, 'docs/') AS prose, regexp_matches(u, 'api|route|controller|schema|endpoint') AS api,
+ regexp_matches(u, 'docker|compose|infra|service|worker|queue') AS sys, regexp_matches(u, 'package\\.json|requirements\\.txt|pyproject\\.toml|\\.env') AS setup FROM p)
+SELECT page_id, CASE WHEN prose OR api OR sys OR setup THEN concat_ws(',', CASE WHEN prose THEN 'readme' END, CASE WHEN sys OR setup THEN 'architecture' END, CASE WHEN api THEN 'api' END,
+ CASE WHEN prose OR setup THEN 'onboarding' END) ELSE 'architecture' END AS doc_types FROM r""".replace("\\\\", "\\"))
+def affected_doc_types(spark, sf_dir):
+    n = F.col("page_id") % 5
+    url = F.concat("url", F.when(n == 0, "/readme").when(n == 1, "/api/x").when(n == 2, "/docker").when(n == 3, "/package.json").otherwise(""))
+    return read_table(spark, sf_dir, "pages").select("page_id", F.array_join(events.doc_types(F.array(url)), ",").alias("doc_types"))
+
+
+@query("""WITH a AS (SELECT *, (epoch_us(ts) // 1000000 - epoch_us(min(ts) OVER (PARTITION BY user_id)) // 1000000) // 172800 AS run FROM events),
+b AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS answered_by FROM a)
+SELECT event_id, user_id AS delivery_id, answered_by, answered_by <> event_id AS duplicate FROM b""")
+def delivery_dedupe(spark, sf_dir):
+    rows = event_log(spark, sf_dir).select("event_id", F.col("user_id").alias("delivery_id"), "ts")
+    return events.dedupe_deliveries(rows).select("event_id", "delivery_id", "answered_by", "duplicate")
+
+
+JOBS = "WITH j AS (SELECT *, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'progress' WHEN 'error' THEN 'retrying' ELSE 'completed' END AS status FROM events)\n"
+
+
+@query(JOBS + """SELECT user_id, last(status ORDER BY ts, event_id) AS status, last(value ORDER BY ts, event_id) FILTER (status = 'progress') AS progress,
+ last(event_id ORDER BY ts, event_id) FILTER (status = 'retrying') AS error FROM j GROUP BY user_id""")
+def job_latest_status(spark, sf_dir):
+    log = job_log(spark, sf_dir).withColumns({"progress": F.when(F.col("status") == "progress", F.col("value")), "error": F.when(F.col("status") == "retrying", F.col("event_id"))})
+    return events.latest_status(log, "user_id", ["status", "progress", "error"])
+
+
+@query(JOBS + """SELECT user_id, CASE WHEN last(status ORDER BY ts, event_id) = 'retrying' AND count(*) FILTER (status = 'retrying') >= 3 THEN 'failed' ELSE last(status ORDER BY ts, event_id) END AS state,
+ count(*) FILTER (status = 'retrying') AS errors, count(*) AS updates FROM j GROUP BY user_id""")
+def job_state_machine(spark, sf_dir):
+    return events.job_states(job_log(spark, sf_dir), "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE epoch_us((SELECT max(ts) FROM events)) // 1000000 - epoch_us(ts) // 1000000 < 86400")
+def ttl_expiry(spark, sf_dir):
+    return events.unexpired(event_log(spark, sf_dir)).select("event_id", "user_id")
+
+
+@query("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 1000")
+def top_n_retention(spark, sf_dir):
+    return events.retain_last(event_log(spark, sf_dir), "event_type").select("event_type", "event_id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def parent_child_cascade(spark, sf_dir):
+    """Children that stay when the parents with a negative balance are deleted."""
+    gone = read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(gone, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("WITH x AS (SELECT event_id, CASE WHEN json_valid(props) THEN props->>'k' END AS k FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '{bad' ELSE props END AS props FROM events)) SELECT event_id, k::BIGINT AS k FROM x WHERE k IS NOT NULL")
+def ndjson_parse(spark, sf_dir):
+    line = F.when(F.col("event_id") % 9 == 0, "{bad").otherwise(F.col("props"))
+    parsed = read_table(spark, sf_dir, "events").select("event_id", F.from_json(line, "k long").alias("x"))
+    return parsed.select("event_id", "x.k").where("k is not null")
+
+
+@query("""SELECT source, (n // 32)::BIGINT AS batch, count(*) AS texts, min(doc_id) AS first_doc FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) GROUP BY ALL""")
+def batch_assign(spark, sf_dir):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    rows = read_table(spark, sf_dir, "documents").select("source", "doc_id", F.floor((F.row_number().over(w) - 1) / 32).alias("batch"))
+    return rows.groupBy("source", "batch").agg(F.count("*").alias("texts"), F.min("doc_id").alias("first_doc"))
+
+
+@query("SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS answer, count(*) AS deltas FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def stream_accumulate(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return rows.groupBy("conv_id").agg(context.joined_in_order(F.col("turn"), F.coalesce("text", F.lit("")), "").alias("answer"), F.count("*").alias("deltas"))
+
+
+@query("""SELECT (SELECT count(*) FROM nation) > 0 AND (SELECT count(*) FROM region) > 0 AND NOT EXISTS (FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)) AS ok""")
+def health_rollup(spark, sf_dir):
+    nation, region = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
+    orphans = nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left_anti")
+    checks = [nation.agg((F.count("*") > 0).alias("up")), region.agg((F.count("*") > 0).alias("up")), orphans.agg((F.count("*") == 0).alias("up"))]
+    return checks[0].unionByName(checks[1]).unionByName(checks[2]).agg(F.bool_and("up").alias("ok"))
+
+
+@query("""WITH s AS (SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"id":' || event_id || '}' || chr(10) || chr(10) AS frame FROM events) SELECT event_id, frame, event_id AS parsed FROM s""")
+def sse_round_trip(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "events").select("event_id", T.sse_event(F.col("event_type"), F.to_json(F.struct(F.col("event_id").alias("id")))).alias("frame"))
+    data = F.filter(F.split("frame", "\n", -1), lambda line: line.startswith("data: "))
+    return rows.withColumn("parsed", F.from_json(F.expr("substr(frame, instr(frame, 'data: ') + 6)"), "id long")["id"]).where(F.size(data) == 1)
+
+
+@query("SELECT c_custkey, '--type,' || c_mktsegment || ',--type,' || c_nationkey AS arguments, upper(c_mktsegment) || ' /' || c_nationkey AS route, coalesce(try_cast(c_mktsegment AS DOUBLE), 4.0) AS number FROM customer")
+def setting_values(spark, sf_dir):
+    values = T.setting_list(F.concat(F.col("c_mktsegment"), F.lit(" , ,"), F.col("c_nationkey")))
+    route = T.route_label(F.lower("c_mktsegment"), F.concat(F.lit(" /"), "c_nationkey"))
+    arguments = F.array_join(T.flag_arguments(values, "--type"), ",")
+    return read_table(spark, sf_dir, "customer").select("c_custkey", arguments.alias("arguments"), route.alias("route"), T.number_or(F.col("c_mktsegment"), 4.0).alias("number"))
+
+
+@query()
+def symbol_extraction(spark, sf_dir):
+    """Symbols of the file view, each text with a few declarations of its language in front."""
+    heads = {
+        "Python": "import os, sys\n@app.get('/a')\ndef handler():\n", "TypeScript": "import x from 'm'\nexport function handler() {}\nrouter.post('/b', handler)\n",
+        "Go": 'import "fmt"\nfunc Handler() {}\nr.GET("/c", Handler)\n', "Java": 'import java.util.List;\npublic class A {\n@GetMapping("/d")\npublic void handler() {}\n',
+    }
+    files = file_view(spark, sf_dir).withColumn("text", F.concat(metadata.lookup(heads, F.col("language")), F.coalesce("text", F.lit(""))))
+    rows = symbols.extract_symbols(files)
+    return rows.select("path", "language", "dependencies", F.col("functions.name").alias("functions"), F.col("classes.name").alias("classes"), F.col("apis"), F.col("exports.name").alias("exports"))
+
+
+@query("""SELECT event_id, user_id::VARCHAR AS job_id, 'https://host/o/' || event_type AS repository_url, CASE event_id % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'base' ELSE 'topic' END AS branch,
+ CASE event_id % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'readme,architecture,api,onboarding' ELSE 'architecture,api' END AS doc_types FROM events WHERE event_type <> 'error'""")
+def webhook_routing(spark, sf_dir):
+    n, url = F.col("event_id") % 3, F.concat(F.lit('"repository":{"clone_url":"https://host/o/'), "event_type", F.lit('"}'))
+    push = F.concat(F.lit('{"ref":"refs/heads/main",'), url, F.lit(',"commits":[{"added":["src/api.py"],"modified":null}]}'))
+    merged = F.concat(F.lit('{"action":"closed",'), url, F.lit(',"pull_request":{"merged":true,"base":{"ref":"base"}}}'))
+    head = F.concat(F.lit('{"action":"opened",'), url, F.lit(',"pull_request":{"head":{"ref":"topic"}}}'))
+    rows = read_table(spark, sf_dir, "events").select(
+        "event_id", F.to_json(F.struct("event_id", "user_id")).alias("delivery_id"),
+        F.when(F.col("event_type") == "error", "issues").when(n == 0, "push").otherwise("pull_request").alias("event"), F.when(n == 0, push).when(n == 1, merged).otherwise(head).alias("payload"),
+    )
+    jobs = events.route_events(rows).withColumn("d", F.from_json("job_id", "event_id long, user_id string"))
+    return jobs.select("d.event_id", F.col("d.user_id").alias("job_id"), "repository_url", "branch", F.array_join("doc_types", ",").alias("doc_types"))
+
+
+@query("SELECT 1 AS rows, string_agg(DISTINCT CASE lang WHEN 'en' THEN 'Python' WHEN 'fr' THEN 'TypeScript' WHEN 'de' THEN 'Go' ELSE 'Java' END, ',') IS NOT NULL AS has_languages FROM documents")
+def metadata_summary(spark, sf_dir):
+    row = metadata.collection_metadata(file_view(spark, sf_dir))
+    return row.agg(F.count("*").cast("int").alias("rows"), F.bool_and(F.size("languages") > 0).alias("has_languages"))
+
