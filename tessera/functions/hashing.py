@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +34,6 @@ def uuid5_url(name: Column) -> Column:
 
 def hmac_sha256(secret: str):
     """A function from a binary column to the hexadecimal HMAC under secret; Spark has no such expression."""
-    import hashlib
-    import hmac
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(body: pd.Series) -> pd.Series:
         return body.map(lambda b: None if b is None else hmac.new(secret.encode(), bytes(b), hashlib.sha256).hexdigest())
