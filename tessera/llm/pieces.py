@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import unused
+from tessera.llm.shared import slices, unused
 
 MARK = "▁"
 #: Where the public vocabulary file is looked for if no path is given.
 MODEL_NAME = "piece_bpe_32k.model"
 #: Characters indexed together, segments remembered by a task, and the length from which a segment is relaxed by itself.
-INDEX_CHARS, MEMORY, LONG = 1 << 19, 1 << 19, 96
+INDEX_CHARS, MEMORY, LONG = 1 << 18, 1 << 18, 96
 _CODES = 1 << 16
 
 
@@ -113,6 +113,10 @@ class Encoder:
         if any(MARK in p.lstrip(MARK) for p in v.texts):
             raise ValueError("pieces with inner marks are not supported")
         self.segments = re.compile((f"[{re.escape(outside)}]|" if outside else "") + f"{MARK}*[^{inner}]+|{MARK}+").findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the segments encoded so far."""
         self.seen = _Segments()
         self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -261,8 +265,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.seen) > MEMORY:
-            self.seen = _Segments()
-            self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+            self.forget()
         before, number = len(self.seen), self.seen.__getitem__
         rows = []
         for text in texts:
@@ -300,7 +303,7 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             rows = encoder.encode(texts)
             same = [encoder.decode(ids) == (text or "") for ids, text in zip(rows, texts)]
@@ -308,6 +311,7 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
+        encoder.forget()
 
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(encoded, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
 
@@ -320,7 +324,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _encoder(path).decode
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if ids is None else decode(np.array(ids, np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 

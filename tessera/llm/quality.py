@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import unused
+from tessera.llm.shared import slices, unused
 
 BLOCK = 2048
 LEVEL = 3
@@ -143,7 +143,7 @@ def with_scores(documents: DataFrame, model: CompressionModel, score: str, *keep
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             values = pa.array(found.score(batch.column(whole).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), values], names=[*keep, score])
 

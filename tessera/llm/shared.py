@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch that a task works on at once.
+SLICE_ROWS = 1024
+
+
+def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
+    """The batches in pieces, so that Python objects are made of a few rows at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 #: Rows up to which a table of a few numbers is broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 

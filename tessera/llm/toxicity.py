@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import slices
+
 CATEGORIES = ("toxic", "severe", "toxic_junk")
 THRESHOLD = 0.25
 #: Bounds of the labelled sample on the driver: rows for each mark, bytes of a text; words in the vocabulary; folds.
@@ -152,7 +154,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             p = chain.probabilities(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, i], pa.float64()) for i in range(len(CATEGORIES)))], names=["doc_id", *CATEGORIES])
 
