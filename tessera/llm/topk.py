@@ -66,9 +66,13 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def pivot_matrix(pivots: list[tuple[int, list[int]]]) -> np.ndarray:
+    return np.array([v for _, v in pivots], np.int64).reshape(len(pivots), len(pivots[0][1]) if pivots else 0)
+
+
 def pivot_table(vectors: DataFrame, pivots: list[tuple[int, list[int]]]) -> DataFrame:
     """Adds d, the distances to the pivots (empty where the vector's length is another)."""
-    table = np.array([v for _, v in pivots], dtype=np.int64).reshape(len(pivots), -1)
+    table = pivot_matrix(pivots)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +144,7 @@ def top_k(embeddings: DataFrame, every: int, k: int) -> DataFrame:
     pivots = choose_pivots([(r["vec_id"], list(r["v"])) for r in sample])
     table = materialize(pivot_table(vectors, pivots), "pivot-table")
     pivot_ids = np.array([i for i, _ in pivots], np.int64)
-    pivot_rows = np.array([v for _, v in pivots], np.int64).reshape(len(pivots), -1)
+    pivot_rows = pivot_matrix(pivots)
 
     asked = materialize(table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "d")).alias("x")), "queries")
     passes = max(1, -(-asked.count() // PASS_QUERIES))
