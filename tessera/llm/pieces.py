@@ -35,7 +35,7 @@ MARK = "▁"
 #: Where the public vocabulary file is looked for if no path is given.
 MODEL_NAME = "piece_bpe_32k.model"
 #: Characters indexed together, segments remembered by a task, and the length from which a segment is relaxed by itself.
-INDEX_CHARS, MEMORY, LONG = 1 << 18, 1 << 18, 96
+INDEX_CHARS, MEMORY, LONG = 1 << 17, 1 << 18, 96
 _CODES = 1 << 16
 
 
