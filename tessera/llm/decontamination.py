@@ -81,8 +81,12 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents, with their columns, that overlap with no benchmark item."""
+    """The rows of documents, with their columns, that overlap with no benchmark item.
+
+    Rows are told apart by doc_id and text, so a contaminated text takes no other text of its id, null included, with it.
+    """
     key = unused("key", documents.columns)
-    found = overlaps(documents, benchmark).select(F.col("doc_id").alias(key)).distinct()
+    own = F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    found = overlaps(documents.select(own.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
     found = bounded_broadcast(materialize(found, "contaminated"))
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+    return documents.withColumn(key, own).join(found, key, "left_anti").select(*documents.columns)
