@@ -50,15 +50,15 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the intercept and is not shrunk."""
+def fit_linear(x: np.ndarray, y: np.ndarray, counts: np.ndarray, penalty: float = 0.1, rounds: int = 30) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, a row counting as counts says; the last weight is the intercept and is not shrunk."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     shrink = np.full(len(w), penalty)
     shrink[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (p - y) + shrink * w)
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (counts * (p - y)) + shrink * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -114,8 +114,11 @@ def choose_vocabulary(texts: list[str], marks: np.ndarray) -> tuple[dict[str, in
     return {word: i for i, (_, word, _) in enumerate(sorted(scored, key=lambda s: s[1]))}, {word for _, word, z in scored if z > 0}
 
 
-def fit(rows: list[tuple[int, str, int, int]]) -> Chain:
-    """Rows are (doc_id, text, toxic, quality)."""
+def fit(rows: list[tuple[int, str, int, int]], drawn: dict[int, float] | None = None) -> Chain:
+    """Rows are (doc_id, text, toxic, quality); drawn: the share of each mark's labels that they were drawn from (all, if absent).
+
+    Where the shares differ, rows count by their inverse, with a mean of 1: the models learn the true share of marked rows.
+    """
     marks = np.array([r[2] for r in rows], dtype=int)
     if not len(rows) or marks.min() == marks.max():
         return Chain({}, [], float(marks.mean()) if len(rows) else 0.0)
@@ -127,24 +130,30 @@ def fit(rows: list[tuple[int, str, int, int]]) -> Chain:
     median = float(np.median(speaking[marks == 1]))
     targets = (marks, marks * (speaking >= median), marks * np.array([r[3] == 0 for r in rows], dtype=int))
     fold = np.random.Generator(np.random.PCG64(5)).permutation(len(rows)) % FOLDS
+    counts = np.array([1 / (drawn or {}).get(mark, 1.0) for mark in marks.tolist()])
+    counts /= counts.mean()
     for y in targets:
-        chain.weights.append(fit_linear(x, y))
+        chain.weights.append(fit_linear(x, y, counts))
         out = np.zeros(len(rows))
         for f in range(FOLDS):
-            out[fold == f] = predict(fit_linear(x[fold != f], y[fold != f]), x[fold == f])
+            out[fold == f] = predict(fit_linear(x[fold != f], y[fold != f], counts[fold != f]), x[fold == f])
         x = np.c_[x, out]
     return chain
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Chain:
-    """Fit on a bounded sample of labelled rows: the lowest hashed ids of either mark, texts of FIT_BYTES at most."""
+    """Fit on a bounded sample of labelled rows: the lowest hashed ids of either mark, texts of FIT_BYTES at most.
+
+    A mark with more labels than FIT_ROWS is cut, and its rows count for those left out.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.coalesce(F.col("quality").cast("int"), F.lit(1)).alias("quality"))
     halves = [known.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS) for mark in (0, 1)]
     picked = halves[0].unionByName(halves[1])
+    drawn = {r["toxic"]: min(1.0, FIT_ROWS / r["count"]) for r in known.groupBy("toxic").count().collect()}
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= FIT_BYTES)
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic", "quality").collect()
-    return fit(sorted((r["doc_id"], r["text"], r["toxic"], r["quality"]) for r in rows))
+    return fit(sorted((r["doc_id"], r["text"], r["toxic"], r["quality"]) for r in rows), drawn)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
