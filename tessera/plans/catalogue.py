@@ -305,6 +305,16 @@ def parsed_files(spark, sf_dir) -> DataFrame:
     )
 
 
+def whole_files(spark, sf_dir) -> DataFrame:
+    """The file view with symbols that cover every line: a class, and two functions that halve it; a third of the files has none."""
+    files = parsed_files(spark, sf_dir).withColumn("last", F.greatest(F.coalesce(F.size(T.split_lines(F.col("text"))), F.lit(1)), F.lit(1)))
+    half, bare = F.ceil(F.col("last") / 2).cast("int"), F.col("doc_id") % 3 == 0
+    place = lambda x, a, b: x.withField("start_line", a).withField("end_line", b)
+    halves = F.array(place(F.col("functions")[0], F.lit(1), half), place(F.col("functions")[1], half + 1, F.col("last")))
+    covering = {"functions": halves, "classes": F.transform("classes", lambda c: place(c, F.lit(1), F.col("last"))), "apis": F.col("apis")}
+    return files.withColumns({k: F.when(bare, F.slice(k, 1, 0)).otherwise(v) for k, v in covering.items()}).drop("last")
+
+
 @query(FILES + r""", l AS (SELECT path, regexp_split_to_array(text, '\r\n|[\n\r\v\f]') AS lines FROM files),
 b AS (SELECT path, regexp_replace(coalesce(lines[1], ''), '^\s+|\s+$', '', 'g') AS one, regexp_replace(coalesce(lines[2], ''), '^\s+|\s+$', '', 'g') AS two,
  regexp_replace(coalesce(lines[1], '') || CASE WHEN len(lines) > 1 THEN chr(10) || lines[2] ELSE '' END, '^\s+|\s+$', '', 'g') AS joined FROM l)
@@ -317,7 +327,7 @@ def chunk_families_union(spark, sf_dir):
 
 @query()
 def chunk_parts(spark, sf_dir):
-    return chunking.chunks(parsed_files(spark, sf_dir)).select("chunk_id", "path", "chunk_type", "source_ref", "part_index", "part_count", "text_length", "text")
+    return chunking.chunks(whole_files(spark, sf_dir)).select("chunk_id", "path", "chunk_type", "source_ref", "part_index", "part_count", "text_length", "text")
 
 
 @query(r"""WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\v\f]') AS p FROM documents), m AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM l)
