@@ -3,7 +3,7 @@
 Three fixed patterns give the base spans. What they matched in a sample of documents are labelled credentials;
 for each label a prefix tree is built over character classes, and states whose outgoing shares are
 statistically compatible are merged (ALERGIA: Carrasco and Oncina, 1994) into a probabilistic automaton. Every long
-run of credential characters outside the base spans is a candidate. Its score is the mean log-likelihood ratio
+run of credential characters is a candidate, or each stretch that base spans leave of it. Its score is the mean log-likelihood ratio
 per character between the best automaton and a bigram model of ordinary runs; candidates that score
 as labelled credentials do, and better than any ordinary run of the sample, are added as spans of kind "learned".
 
@@ -33,9 +33,11 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "learned")
 
-#: A candidate is a whole run of these, of so many at least and at most.
+#: A candidate is a run of these, or what base spans leave of it, of so many at least; only the sample has a most.
 RUN = r"[A-Za-z0-9+/_.=-]"
 SHORTEST, LONGEST = 16, 512
+#: These do not belong to a stretch where it borders on a base span.
+SEPARATORS = "+/_.=-"
 #: Bounds of the sample on the driver: documents read for it, credentials of a kind, and ordinary runs.
 FIT_DOCUMENTS, FIT_CREDENTIALS, FIT_RUNS = 20_000, 400, 4000
 #: Significance of the compatibility test, smoothing of unseen symbols, and the quantile of labelled scores to reach.
@@ -238,14 +240,25 @@ def all_spans(text: str, grammars: Grammars) -> list[tuple[int, int, str]]:
     base = base_spans(text)
     found, i = list(base), 0
     by_start = sorted(base)
-    for m in _runs.finditer(text):
-        start, end = m.span()
-        while i < len(by_start) and by_start[i][1] <= start:
+    for m in _runs.finditer(text) if grammars.automata else ():
+        at, stop = m.span()
+        while i < len(by_start) and by_start[i][1] <= at:
             i += 1
-        if any(a < end and b > start for a, b, _ in by_start[i:] if a < end):
-            continue
-        if end - start <= LONGEST and grammars.automata and grammars.accepts(m[0]):
-            found.append((start, end, "learned"))
+        # i stays at the first base span that can reach into a later run.
+        k, cut = i, False
+        while at < stop:
+            covered = k < len(by_start) and by_start[k][0] < stop
+            end = max(at, by_start[k][0]) if covered else stop
+            start, to = at, end
+            if cut:
+                start = to - len(text[start:to].lstrip(SEPARATORS))
+            if covered:
+                to = start + len(text[start:to].rstrip(SEPARATORS))
+            if to - start >= SHORTEST and grammars.accepts(text[start:to]):
+                found.append((start, to, "learned"))
+            if not covered:
+                break
+            at, cut, k = max(at, by_start[k][1]), cut or by_start[k][1] > m.start(), k + 1
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
