@@ -15,19 +15,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize
+from tessera.llm.shared import bounded_broadcast, materialize
 
 BITS = 4
 DIMENSIONS = ("lang_key", "source_key", "size")
 
 
-def order_key(text: Column) -> Column:
-    """The first seven bytes as a number, which keeps the order of byte strings."""
-    head = F.rpad(F.hex(F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+def with_order_key(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """rows with key, a number that keeps the order of the whole strings in column, instead of column."""
+    values = rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    values = materialize(values.withColumn(key, F.monotonically_increasing_id()), "order-keys")
+    return rows.join(bounded_broadcast(values), column).drop(column)
 
 
 def cut_points(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> dict[str, list[int]]:
@@ -75,10 +76,11 @@ def shard_rows(documents: DataFrame, shards: int = 24) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        order_key(F.col("lang")).alias("lang_key"),
-        order_key(F.col("source")).alias("source_key"),
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.coalesce("source", F.lit("")).alias("source"),
     )
     rows = materialize(rows, "shard-rows")
+    rows = with_order_key(with_order_key(rows, "lang", "lang_key"), "source", "source_key")
     cuts = cut_points(rows)
     cell = F.lit(0).cast("long")
     for c in DIMENSIONS:
