@@ -4,14 +4,14 @@ A mask looks at some of a run of consecutive words and ignores the others. Every
 place of the benchmark items and of the documents; equal hashes of the words that it looks at are a
 hit, although words under the ignored places may differ. Around each hit the item and the document are compared
 word by word without shifting: of the AREA item words around the hit (all, if the item is shorter) a share of at
-least AGREE must be equal. Words are runs of letters, marks and digits of the lower-cased text.
+least AGREE must be equal. Words are runs of letters, marks and digits of the lower-cased text. Items that are too short for the
+shortest mask are looked for as they are: all their words in a row.
 
 Documents' seeds meet the benchmark's in a broadcast join if those are few, and by a shuffle otherwise. Only
 hits go on, gathered by document, and only documents with hits are read again for the comparison.
 
-Defined results: null texts and texts without words match nothing; an item needs MASK_WORDS words to be
-searched; repeated items or documents give one row for each pair of ids; null ids are kept as ids;
-empty tables give no rows. Other columns are not read.
+Defined results: null texts and texts without words match nothing; repeated items or documents give one row for each pair of
+ids; null ids are kept as ids; texts are searched whole, however long; empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import bounded_broadcast, materialize, unused
 
-#: Fixed masks: the places that each compares.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 1, 4, 7, 8))
-MASK_WORDS = 5
+#: Fixed masks: the places that each compares. Each ignores at least one between them.
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 4, 7, 8))
+#: Items of fewer words have no seeds by masks.
+MASK_WORDS = min(mask[-1] for mask in MASKS) + 1
 AREA, AGREE = 16, 0.75
 #: Seeds (places of the benchmark times masks, each with AREA numbers) up to which they are broadcast.
 BROADCAST_SEEDS = 200_000
@@ -36,21 +37,37 @@ def word_codes(text: Column) -> Column:
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    """One row for each place of codes where a mask can begin: its index at."""
-    last = F.size("codes") - MASK_WORDS
-    return rows.withColumn("at", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
+    """One row for each word of codes: its index at."""
+    return rows.withColumn("at", F.explode(F.when(F.size("codes") > 0, F.sequence(F.lit(0), F.size("codes") - 1))))
 
 
-def _seeds() -> Column:
-    return F.array(*(F.xxhash64(F.lit(m), *(F.get("codes", F.col("at") + p) for p in mask)) for m, mask in enumerate(MASKS)))
+def _seed(kind: int, places: range | tuple[int, ...]) -> Column:
+    """The hash of the words at some places from at, null where the text ends before."""
+    return F.when(F.col("at") + max(places) < F.size("codes"), F.xxhash64(F.lit(kind), *(F.get("codes", F.col("at") + p) for p in places)))
+
+
+def _seeds(short: list[int]) -> Column:
+    """The seeds at a place: of all masks, and of as many words in a row as short items have."""
+    masks = [_seed(m, mask) for m, mask in enumerate(MASKS)]
+    return F.array_compact(F.array(*masks, *(_seed(-n, range(n)) for n in short)))
+
+
+def short_sizes(benchmark: DataFrame) -> list[int]:
+    """The numbers of words, below MASK_WORDS, that items have."""
+    sizes = benchmark.select(F.size(word_codes(F.col("text"))).alias("n")).where(F.col("n").between(1, MASK_WORDS - 1)).distinct()
+    return sorted(r["n"] for r in sizes.collect())
 
 
 def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     """seed, item_id, the item's words around it (area) and where the area begins from the seed (shift)."""
-    places = _places(benchmark.select("item_id", word_codes(F.col("text")).alias("codes")))
+    coded = benchmark.select("item_id", word_codes(F.col("text")).alias("codes"))
+    places = _places(coded)
     start = F.greatest(F.lit(0), F.least(F.col("at") - (AREA - MASKS[-1][-1]) // 2, F.size("codes") - AREA))
-    rows = places.select("item_id", (start - F.col("at")).alias("shift"), F.slice("codes", start + 1, AREA).alias("area"), F.explode(_seeds()).alias("seed"))
-    return rows.distinct()
+    long = places.where(F.size("codes") >= MASK_WORDS)
+    rows = long.select("item_id", (start - F.col("at")).alias("shift"), F.slice("codes", start + 1, AREA).alias("area"), F.explode(_seeds([])).alias("seed"))
+    short = coded.where(F.size("codes").between(1, MASK_WORDS - 1)).withColumn("at", F.lit(0))
+    whole = F.coalesce(*(F.when(F.size("codes") == n, _seed(-n, range(n))) for n in range(1, MASK_WORDS)))
+    return rows.unionByName(short.select("item_id", F.lit(0).alias("shift"), F.col("codes").alias("area"), whole.alias("seed"))).distinct()
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -58,7 +75,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = materialize(benchmark_seeds(benchmark), "seeds")
     few = seeds.count() <= BROADCAST_SEEDS
     coded = documents.select("doc_id", word_codes(F.col("text")).alias("codes"))
-    places = _places(coded).select("doc_id", "at", F.explode(_seeds()).alias("seed"))
+    places = _places(coded).select("doc_id", "at", F.explode(_seeds(short_sizes(benchmark))).alias("seed"))
     hits = places.join(F.broadcast(seeds) if few else seeds, "seed")
     hit = F.struct("item_id", (F.col("at") + F.col("shift")).alias("begin"), "area")
     hits = hits.select("doc_id", hit.alias("hit")).distinct().groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
