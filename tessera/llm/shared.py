@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,14 @@ def unused(name: str, columns: list[str]) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that every executor can read: spark.checkpoint.dir.
+
+    Where that is unset, a new local folder if driver and executors are one process, as in tests; on a cluster, an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,13 +57,39 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Parts that the rows of a key are dealt to where a join has to shuffle.
+SALTS = 16
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, key: str, node: str) -> DataFrame:
+    """Inner join of rows with a materialized table of one row a key, on key, without one task for a key with many rows.
+
+    A table of at most BROADCAST_ROWS rows is broadcast. A larger one is repeated SALTS times, and the rows of a key are dealt to its copies by node.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key)
+    salt = unused("salt", [*rows.columns, *table.columns])
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(node, F.lit(29)), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, salt]).drop(salt)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and continue from the written copy.
 
     This cuts the lineage at a place that survives the loss of any executor, and makes
-    whatever was not deterministic in df (row numbers, task ids) fixed from here on.
+    whatever was not deterministic in df (row numbers, task ids) fixed from here on. discard removes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.materialized_at = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.materialized_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

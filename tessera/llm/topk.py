@@ -9,12 +9,14 @@ an upper bound of the inner product. Candidates are evaluated in the order of th
 below the k-th best score found so far; nothing that could still enter the result is left out. The pivots
 are rows themselves, so their own scores give the first k-th best.
 
-Queries are handled in blocks of bounded size; each block is one pass over the partitioned table.
+Queries are handled in blocks of bounded size, one pass over the partitioned table after the other: only one block is on the
+driver and the executors at a time, and of each pass only its queries' best rows are written.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; scores
 are between vectors of one length; a query row is no candidate for itself, nor is any row of its id; repeated query
 ids are asked once, and the first of several vectors (in array order) is the query; repeated candidate rows count
-once each; ties go to the smaller id; with fewer candidates than k all are returned.
+once each; ties go to the smaller id; with fewer candidates than k all are returned; other columns are not read; no rows give
+no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize
+from tessera.llm.shared import discard, materialize
 
 #: Pivots, the rows that they are chosen from, queries in a pass over the table, and queries bounded together.
-PIVOTS, PIVOT_ROWS, PASS_QUERIES, BLOCK = 24, 1000, 20_000, 128
+PIVOTS, PIVOT_ROWS, PASS_QUERIES, BLOCK = 128, 2000, 20_000, 128
 SCALE = 256
 
 
@@ -109,10 +111,15 @@ class Search:
 
     def bounds(self, rows: slice, norm: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores of some queries and all candidates of a batch."""
-        low = np.zeros((rows.stop - rows.start, len(norm)))
+        low = np.zeros((rows.stop - rows.start, len(norm)), np.float32)
+        apart = np.empty_like(low)
+        mine, theirs = self.d[rows].astype(np.float32), d.astype(np.float32)
         for p in range(min(d.shape[1], self.d.shape[1])):
-            np.maximum(low, np.abs(self.d[rows, p][:, None] - d[:, p][None, :]), out=low)
-        low = np.maximum(low * (1 - 1e-9) - 1e-6, 0)
+            np.subtract(mine[:, p][:, None], theirs[:, p][None, :], out=apart)
+            np.maximum(low, np.abs(apart, out=apart), out=low)
+        # A difference of two rounded numbers is wrong by their rounding errors at most.
+        most = max(np.abs(mine).max(initial=0), np.abs(theirs).max(initial=0))
+        low = np.maximum(low.astype(float) - 4e-7 * most - 1e-6, 0)
         return (self.norm[rows][:, None] + norm[None, :]) / 2 * (1 + 1e-12) - low * low / 2 + 0.5
 
     def take(self, ids: np.ndarray, v: np.ndarray, d: np.ndarray) -> None:
@@ -137,6 +144,19 @@ class Search:
                     at, step = at + step, step * 2
 
 
+def query_blocks(rows: pa.Table) -> list[tuple]:
+    """Ids, vectors, distances to the pivots, and length, of the queries of each length."""
+    blocks = []
+    lengths = rows.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0, int)
+    for dim in np.unique(lengths).tolist():
+        own = rows.filter(pa.array(lengths == dim))
+        d = own.column("d").combine_chunks()
+        width = int(d.value_lengths()[0].as_py())
+        v = _matrix(own.column("v").combine_chunks(), dim) if dim else np.zeros((len(own), 0), np.int64)
+        blocks.append((own.column("vec_id").to_numpy(), v, _matrix(d, width) if width else np.zeros((len(own), 0)), dim))
+    return blocks
+
+
 def top_k(embeddings: DataFrame, every: int, k: int) -> DataFrame:
     """query_id, rank, vec_id and score: the k best candidates of each row whose id is divisible by every."""
     vectors = integer_vectors(embeddings)
@@ -148,17 +168,11 @@ def top_k(embeddings: DataFrame, every: int, k: int) -> DataFrame:
 
     asked = materialize(table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "d")).alias("x")), "queries")
     passes = max(1, -(-asked.count() // PASS_QUERIES))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = None
     for n in range(passes):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == n).select("vec_id", "x.v", "x.d").toArrow().combine_chunks()
-        blocks = []
-        lengths = rows.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0, int)
-        for dim in np.unique(lengths).tolist():
-            own = rows.filter(pa.array(lengths == dim))
-            d = own.column("d").combine_chunks()
-            width = int(d.value_lengths()[0].as_py())
-            blocks.append((own.column("vec_id").to_numpy(), _matrix(own.column("v").combine_chunks(), dim) if dim else np.zeros((len(own), 0), np.int64), _matrix(d, width) if width else np.zeros((len(own), 0)), dim))
-        shared = embeddings.sparkSession.sparkContext.broadcast(blocks)
+        shared = embeddings.sparkSession.sparkContext.broadcast(query_blocks(rows))
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             searches = [(dim, Search(ids, q, d, k, pivot_ids, pivot_rows)) for ids, q, d, dim in shared.value]
@@ -175,6 +189,9 @@ def top_k(embeddings: DataFrame, every: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
         part = table.mapInArrow(searched, "query_id long, vec_id long, score long")
+        part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        part = materialize(part.select("query_id", "rank", "vec_id", "score"), "best")
+        shared.unpersist()
         out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    discard(table, asked)
+    return out
