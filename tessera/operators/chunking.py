@@ -6,9 +6,6 @@ chunk's body is split into parts that fit the budget together with a header; nei
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +49,7 @@ def split_body(body: str, budget: int, overlap: int = OVERLAP) -> list[str]:
 
 
 def parts_of(body: str | None, header: str | None, limit: int) -> list[str]:
+    """What body_parts gives, for one body."""
     body, header = (body or "").strip(), header or ""
     if not body:
         return []
@@ -60,13 +58,38 @@ def parts_of(body: str | None, header: str | None, limit: int) -> list[str]:
     return split_body(body, max(limit - len(header) - RESERVE, LEAST_BUDGET))
 
 
+_HELD = "struct<parts:array<string>,held:array<string>,fresh:boolean>"
+
+
 def body_parts(body: Column, header: Column, limit: int) -> Column:
-    """The parts of a body that fit the limit together with its header."""
+    """The parts of a body that fit the limit together with its header: split_body as a fold over the lines, in the JVM."""
+    body, none = strip(F.coalesce(body, F.lit(""))), F.array().cast("array<string>")
+    budget = F.greatest(F.lit(limit) - F.length(header) - RESERVE, F.lit(LEAST_BUDGET))
+    start = F.struct(none.alias("parts"), none.alias("held"), F.lit(False).alias("fresh")).cast(_HELD)
+
+    def size(lines: Column) -> Column:
+        return F.length(F.array_join(lines, "\n")) + F.when(F.size(lines) > 0, 1).otherwise(0)
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["fresh"], F.array_append(acc["parts"], F.array_join(acc["held"], "\n"))).otherwise(acc["parts"])
 
-    def split(bodies: pd.Series, headers: pd.Series) -> pd.Series:
-        return pd.Series([parts_of(b, h, limit) for b, h in zip(bodies, headers)])
+    def state(parts: Column, held: Column, fresh: bool) -> Column:
+        return F.struct(parts.alias("parts"), held.alias("held"), F.lit(fresh).alias("fresh")).cast(_HELD)
 
-    return F.pandas_udf(split, "array<string>")(body, header)
+    def step(acc: Column, line: Column) -> Column:
+        length = F.length(line) + 1
+        last = F.reverse(F.slice(F.reverse(acc["held"]), 1, OVERLAP))
+        carried = F.when(size(last) + length <= budget, last).otherwise(none)
+        sections = F.transform(F.sequence(F.lit(0), F.floor((F.length(line) - 1) / budget).cast("int")), lambda i: F.substring(line, i * budget + 1, budget))
+        return (
+            F.when(length > budget, state(F.concat(closed(acc), sections), none, False))
+            .when(size(acc["held"]) + length > budget, state(closed(acc), F.array_append(carried, line), True))
+            .otherwise(state(acc["parts"], F.array_append(acc["held"], line), True))
+        )
+
+    folded = F.aggregate(split_lines(body), start, step, closed)
+    split = F.filter(F.transform(folded, strip), lambda p: p != "")
+    return F.when(body == "", none).when(F.length(header) + 2 + F.length(body) <= limit, F.array(body)).otherwise(split)
 
 
 def module_type(path: Column, classes: Column, apis: Column) -> Column:
@@ -115,44 +138,76 @@ def module_summary() -> Column:
     return F.when(bare, strip(F.concat(strip(lines), F.lit("\n\n"), strip(F.col("text"))))).otherwise(strip(lines))
 
 
+_BODY = (
+    "array<struct<family:int,chunk_type:string,at:int,symbol:string,related:array<string>,routes:array<string>,body:string,start_line:int,end_line:int>>"
+)
+
+
 def bodies(files: DataFrame) -> DataFrame:
-    """One row for each chunk before splitting.
+    """One row for each chunk before splitting. A file's chunks are one array, so each text is read and cut into lines once.
 
     files: path, language, text, dependencies and outline (strings), functions (name, start_line, end_line),
     classes (name, methods, start_line, end_line), apis (name, method, route), exports (name).
     """
     rows = files.withColumns({"dependencies": non_blank(F.col("dependencies")), "outline": non_blank(F.col("outline")), "lines": split_lines(F.col("text"))})
     rows = rows.withColumn("module_type", module_type(F.col("path"), F.col("classes"), F.col("apis")))
-    none, base = F.array().cast("array<string>"), ["path", "language", "module_type", F.slice("dependencies", 1, LIST_LIMIT).alias("dependencies")]
+    none = F.array().cast("array<string>")
+
+    def chunk(family: int, kind: str, at: Column, symbol: Column, related: Column, routes: Column, body: Column, start: Column, end: Column) -> Column:
+        return F.struct(
+            F.lit(family).alias("family"), F.lit(kind).alias("chunk_type"), at.alias("at"), symbol.alias("symbol"), F.slice(related, 1, LIST_LIMIT).alias("related"),
+            F.slice(routes, 1, LIST_LIMIT).alias("routes"), body.alias("body"), start.alias("start_line"), end.alias("end_line"),
+        )
+
+    def numbered(items: str, valid) -> Column:
+        return F.filter(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda n: valid(n["x"]))
 
-    def family(source: DataFrame, ord_: int, kind: str, symbol: Column, related: Column, routes: Column, body: Column, start: Column, end: Column) -> DataFrame:
-        columns = {"symbol": symbol, "related": F.slice(related, 1, LIST_LIMIT), "routes": F.slice(routes, 1, LIST_LIMIT), "body": body, "start_line": start, "end_line": end}
-        return source.select(*base, F.lit(ord_).alias("family"), F.lit(kind).alias("chunk_type"), "at", *(v.alias(k) for k, v in columns.items()))
+    def located(x: Column) -> Column:
+        return (x["name"] != "") & x["start_line"].isNotNull() & x["end_line"].isNotNull()
 
-    def routes_of(name: Column) -> Column:
-        return F.transform(F.filter("apis", lambda a: strip(a["name"]) == name), lambda a: route_label(a["method"], a["route"]))
+    def code(x: Column) -> Column:
+        return line_slice(F.col("lines"), x["start_line"], x["end_line"])
 
     some_functions = F.filter(F.transform(F.slice("functions", 1, RELATED_LIMIT), lambda f: f["name"]), lambda n: n != "")
     some_routes = F.transform(F.slice("apis", 1, RELATED_LIMIT), lambda a: route_label(a["method"], a["route"]))
     last = F.greatest(F.size("lines"), F.lit(1))
-    module = family(rows.withColumn("at", F.lit(0)), 0, "module", F.lit(None).cast("string"), some_functions, some_routes, module_summary(), F.lit(1), last)
-
-    located = (F.col("x.name") != "") & F.col("x.start_line").isNotNull() & F.col("x.end_line").isNotNull()
-    code = line_slice(F.col("lines"), F.col("x.start_line"), F.col("x.end_line"))
-    of_classes = rows.select("*", F.posexplode("classes").alias("at", "x")).where(located)
-    classes = family(of_classes, 1, "class", strip(F.col("x.name")), non_blank(F.col("x.methods")), none, code, F.col("x.start_line"), F.col("x.end_line"))
-    of_functions = rows.select("*", F.posexplode("functions").alias("at", "x")).where(located)
-    owners = F.transform(F.filter("classes", lambda c: F.array_contains(c["methods"], F.col("x.name"))), lambda c: c["name"])
-    functions = family(of_functions, 2, "function", strip(F.col("x.name")), owners, routes_of(strip(F.col("x.name"))), code, F.col("x.start_line"), F.col("x.end_line"))
-
-    of_routes = rows.select("*", F.posexplode("apis").alias("at", "x")).where((F.col("x.name") != "") & (F.col("x.route") != ""))
-    handler = F.try_element_at(F.filter("functions", lambda f: f["name"] == F.col("x.name")), F.lit(1))
-    of_routes = of_routes.withColumn("handler", handler)
-    inlined = F.concat(F.col("x.method"), F.lit(" "), F.col("x.route"), F.lit("\nHandler: "), F.col("x.name"))
-    body = F.when(F.col("handler").isNotNull(), line_slice(F.col("lines"), F.col("handler.start_line"), F.col("handler.end_line"))).otherwise(inlined)
-    own_route = F.array(route_label(F.col("x.method"), F.col("x.route")))
-    routes = family(of_routes, 3, "route", F.col("x.name"), F.array(F.col("x.name")), own_route, body, F.col("handler.start_line"), F.col("handler.end_line"))
-    return reduce(DataFrame.unionByName, [module, classes, functions, routes])
+    module = F.array(chunk(0, "module", F.lit(0), F.lit(None).cast("string"), some_functions, some_routes, module_summary(), F.lit(1), last))
+    classes = F.transform(
+        numbered("classes", located), lambda n: chunk(1, "class", n["i"], strip(n["x"]["name"]), non_blank(n["x"]["methods"]), none, code(n["x"]), n["x"]["start_line"], n["x"]["end_line"])
+    )
+
+    def function(n: Column) -> Column:
+        x = n["x"]
+        return chunk(2, "function", n["i"], strip(x["name"]), owners_of(x["name"]), routes_of(strip(x["name"])), code(x), x["start_line"], x["end_line"])
+
+    def route(n: Column) -> Column:
+        x = n["x"]
+        handler = handler_of(x["name"])
+        inlined = F.concat(x["method"], F.lit(" "), x["route"], F.lit("\nHandler: "), x["name"])
+        body = F.when(handler.isNotNull(), code(handler)).otherwise(inlined)
+        return chunk(3, "route", n["i"], x["name"], F.array(x["name"]), F.array(route_label(x["method"], x["route"])), body, handler["start_line"], handler["end_line"])
+
+    functions = F.transform(numbered("functions", located), function)
+    routes = F.transform(numbered("apis", lambda a: (a["name"] != "") & (a["route"] != "")), route)
+    found = F.concat(module.cast(_BODY), classes.cast(_BODY), functions.cast(_BODY), routes.cast(_BODY))
+    kept = [F.col(c) for c in ("repository",) if c in files.columns]
+    base = ["path", "language", "module_type", F.slice("dependencies", 1, LIST_LIMIT).alias("dependencies")]
+    return rows.select(*kept, *base, F.explode(found).alias("x")).select(*kept, "path", "language", "module_type", "dependencies", "x.*")
+
+
+def routes_of(name: Column) -> Column:
+    """The routes of a file whose handler is name."""
+    return F.transform(F.filter("apis", lambda a: strip(a["name"]) == name), lambda a: route_label(a["method"], a["route"]))
+
+
+def owners_of(name: Column) -> Column:
+    """The classes of a file that have a method of that name."""
+    return F.transform(F.filter("classes", lambda c: F.array_contains(c["methods"], name)), lambda c: c["name"])
+
+
+def handler_of(name: Column) -> Column:
+    """The first function of a file with that name, null if there is none."""
+    return F.get(F.filter("functions", lambda f: f["name"] == name), F.lit(0))
 
 
 def chunks(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
