@@ -1,13 +1,22 @@
-"""Sparse, dense and fused retrieval. Queries and points are tables; a search is one plan for all queries."""
+"""Sparse, dense and fused retrieval. Queries and points are tables; a search answers all queries of its table.
+
+A text's sparse vector is made within its row. Queries are a stated set: they go to the tasks in blocks of bounded size, and each
+task keeps the best of its points for each query, so that only those are shuffled.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import token_bucket
+from tessera.functions.text import missing_if_empty
+from tessera.sources.tables import broadcast_if_small
 
 # The token pattern, the number of buckets, over-fetching, and the fusion constant
 # of Cormack, Clarke and Buettcher (2009).
@@ -15,21 +24,37 @@ TOKEN = "([A-Za-z_][A-Za-z0-9_./-]{1,63})"
 DIMENSIONS = 4096
 OVERFETCH = 3
 FUSION = 60
+#: Queries in one pass over the points, and rows of an Arrow batch that are scored at once.
+BLOCK_QUERIES, SLICE_ROWS = 1000, 2048
 
 
 def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), F.lower)
 
 
+def with_sparse(rows: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, name: str = "sparse") -> DataFrame:
+    """rows with the sparse vector of a text: its buckets, ascending, and how many tokens fall in each; null for a null text.
+
+    Buckets are sorted within the row, and the lengths of runs of equal ones are the counts.
+    """
+    rows = rows.withColumn("_buckets", F.array_sort(F.transform(tokens(F.col(text)), lambda t: token_bucket(t, dimensions))))
+    starts = F.filter(F.transform("_buckets", lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get("_buckets", x["i"] - 1) != x["b"]))
+    rows = rows.withColumn("_starts", starts)
+    values = F.transform("_starts", lambda x, k: (F.coalesce(F.get("_starts", k + 1)["i"], F.size("_buckets")) - x["i"]).cast("double"))
+    packed = F.struct(F.col("_starts.b").alias("indices"), values.alias("values"))
+    return rows.withColumn(name, F.when(F.col(text).isNotNull(), packed)).drop("_buckets", "_starts")
+
+
 def sparse_entries(rows: DataFrame, key: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """key, idx and val: the sparse vector of every row in long form. Equal tokens are counted before they are hashed."""
-    counted = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").count()
-    return counted.groupBy(key, token_bucket(F.col("token"), dimensions).alias("idx")).agg(F.sum("count").cast("double").alias("val"))
+    """key, idx and val: the sparse vector of every row in long form. Of rows with one key, the entries are added."""
+    vectors = with_sparse(rows.select(key, F.col(text).alias("_text")), "_text", dimensions)
+    entries = vectors.select(key, F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("e"))
+    return entries.select(key, F.col("e.indices").alias("idx"), F.col("e.values").alias("val"))
 
 
 def pack_sparse(entries: DataFrame, key: str) -> DataFrame:
     """key, indices and values, by ascending index."""
-    packed = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "val"))).alias("v"))
+    packed = entries.groupBy(key, "idx").agg(F.sum("val").alias("val")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "val"))).alias("v"))
     return packed.select(key, F.col("v.idx").alias("indices"), F.col("v.val").alias("values"))
 
 
@@ -40,9 +65,9 @@ def best(scored: DataFrame, n: int, key: str = "id") -> DataFrame:
 
 
 def sparse_scores(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """Dot products of queries (query_id, idx, val) with points (id, idx, val) that share a bucket."""
+    """All dot products of queries (query_id, idx, val) with points (id, idx, val) that share a bucket; best_sparse gives the best alone."""
     q = queries.select("query_id", "idx", F.col("val").alias("query_val"))
-    return entries.join(F.broadcast(q), "idx").groupBy("query_id", "id").agg(F.sum(F.col("val") * F.col("query_val")).alias("score"))
+    return entries.join(broadcast_if_small(q), "idx").groupBy("query_id", "id").agg(F.sum(F.col("val") * F.col("query_val")).alias("score"))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -53,15 +78,110 @@ def with_norm(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.select(F.col(key).alias("id"), "embedding", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
 
 
-def dense_scores(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """Cosines of a stated set of query vectors (query_id, embedding, norm) with all points, rounded to nine places.
-
-    The query set is one block that goes to every task.
+def _best_of(points: DataFrame, blocks: Callable, scores: Callable, n: int) -> DataFrame:
+    """The n best points (id) of each query. blocks: yields (ids of queries, what scores takes); scores: of a batch, queries by rows, NaN where there is none."""
+    session, out = points.sparkSession, None
+    for ids, block in blocks():
+        shared = session.sparkContext.broadcast((ids, block))
+
+        def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, block = shared.value
+            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+            for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, len(b), SLICE_ROWS)):
+                found, own = scores(batch, block), batch.column("id").to_numpy()
+                for q, row in enumerate(found):
+                    least = best[q][0][-1] if len(best[q][0]) == n else -np.inf
+                    at = np.flatnonzero(row >= least)
+                    if len(at):
+                        score, key = np.concatenate([best[q][0], row[at]]), np.concatenate([best[q][1], own[at]])
+                        order = np.lexsort((key, -score))[:n]
+                        best[q] = score[order], key[order]
+            columns = [np.repeat(ids, [len(b[0]) for b in best]), np.concatenate([b[1] for b in best] or [ids]), np.concatenate([b[0] for b in best] or [np.zeros(0)])]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "id", "score"])
+
+        part = points.mapInArrow(kept, "query_id long, id long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return session.createDataFrame([], "query_id long, id long, score double, rank int")
+    return best(out, n)
+
+
+def _blocks(queries: DataFrame, columns: list[str], make: Callable) -> Callable:
+    """The queries in blocks of BLOCK_QUERIES, one after the other on the driver."""
+
+    def blocks() -> Iterator[tuple[np.ndarray, object]]:
+        rows = queries.where(F.col("query_id").isNotNull()).select("query_id", *columns)
+        passes = -(-rows.count() // BLOCK_QUERIES)
+        for n in range(passes):
+            own = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).toArrow().combine_chunks()
+            if len(own):
+                yield own.column("query_id").to_numpy(), make(own)
+
+    return blocks
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list column; a null list is empty."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def best_sparse(queries: DataFrame, points: DataFrame, n: int) -> DataFrame:
+    """The n best points (id, sparse) of each query (query_id, sparse) by dot product, of those that share a bucket with it."""
+
+    def matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that queries have, and a column for each of them, plus one of zeros."""
+        packed = rows.column("sparse").combine_chunks()
+        (idx, sizes), (val, _) = _flat(packed.field("indices")), _flat(packed.field("values"))
+        known, column = np.unique(idx.astype(np.int64), return_inverse=True)
+        out = np.zeros((len(rows), len(known) + 1))
+        out[np.repeat(np.arange(len(rows)), sizes), column] = val
+        return known, out
+
+    def scores(batch: pa.RecordBatch, block) -> np.ndarray:
+        known, q = block
+        packed = batch.column("sparse")
+        (idx, sizes), (val, _) = _flat(packed.field("indices")), _flat(packed.field("values"))
+        owner = np.repeat(np.arange(len(batch)), sizes)
+        column = np.searchsorted(known, idx)
+        hit = column < len(known)
+        hit[hit] = known[column[hit]] == idx[hit]
+        x = np.zeros((len(batch), q.shape[1]))
+        x[owner[hit], column[hit]] = val[hit]
+        out = q @ x.T
+        out[out == 0] = np.nan
+        return out
+
+    rows = points.where("id is not null and sparse is not null").select(F.col("id").cast("long").alias("id"), "sparse")
+    return _best_of(rows, _blocks(queries.where("size(sparse.indices) > 0"), ["sparse"], matrix), scores, n)
+
+
+def best_dense(queries: DataFrame, points: DataFrame, n: int) -> DataFrame:
+    """The n best points (id, embedding, norm) of each query (query_id, embedding, norm) by cosine, rounded to nine places.
+
+    Vectors are compared with those of their length; without a length of their own (norm 0) they have no cosine.
     """
-    block = queries.select(F.lit(0).alias("block"), "query_id", F.col("embedding").alias("q"), F.col("norm").alias("query_norm"))
-    pairs = points.withColumn("block", F.lit(0)).join(F.broadcast(block), "block")
-    cosine = _dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("query_norm"))
-    return pairs.select("query_id", "id", F.round(cosine, 9).alias("score"))
+
+    def unit(column: pa.Array, norm: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        values, sizes = _flat(column)
+        same = (sizes == dim) & (norm > 0)
+        rows = values.astype(float)[np.repeat(same, sizes)].reshape(-1, dim)
+        return same, rows
+
+    def matrix(rows: pa.Table):
+        column, norm = rows.column("embedding").combine_chunks(), rows.column("norm").to_numpy()
+        return [(dim, *unit(column, norm, dim), norm) for dim in np.unique(_flat(column)[1]).tolist() if dim]
+
+    def scores(batch: pa.RecordBatch, block) -> np.ndarray:
+        norm = batch.column("norm").to_numpy(zero_copy_only=False)
+        out = np.full((len(block[0][1]) if block else 0, len(batch)), np.nan)
+        for dim, asked, q, q_norm in block:
+            same, x = unit(batch.column("embedding"), norm, dim)
+            out[np.ix_(asked, same)] = np.round(q @ x.T / (q_norm[asked][:, None] * norm[same][None, :]), 9)
+        return out
+
+    rows = points.where("id is not null and embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "norm")
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), "norm").where("embedding is not null")
+    return _best_of(rows, _blocks(asked, ["embedding", "norm"], matrix), scores, n)
 
 
 def fuse(branches: list[DataFrame], n: int, constant: int = FUSION) -> DataFrame:
@@ -71,18 +191,43 @@ def fuse(branches: list[DataFrame], n: int, constant: int = FUSION) -> DataFrame
     return best(fused, n)
 
 
-def filtered(points: DataFrame, **equal: str) -> DataFrame:
-    """Equality filters; an empty value means no filter."""
+def filtered(points: DataFrame, **equal: str | None) -> DataFrame:
+    """Equality filters; an empty or absent value means no filter."""
     return reduce(lambda df, item: df.where(F.col(item[0]) == item[1]) if item[1] else df, equal.items(), points)
 
 
 def hybrid_search(queries: DataFrame, query_vectors: DataFrame, points: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     """query_id, rank, id and score of the fused sparse and dense search.
 
-    queries: query_id, text; query_vectors: query_id, embedding, norm; points: id, text; vectors: id, embedding, norm.
+    queries: query_id, text; query_vectors: query_id, embedding, norm; points: id, text (or sparse); vectors: id, embedding, norm.
     A query without tokens has no sparse branch, so its result is the dense one.
     """
     fetch = max(limit * OVERFETCH, limit)
-    sparse = best(sparse_scores(sparse_entries(queries, "query_id"), sparse_entries(points, "id")), fetch)
-    dense = best(dense_scores(query_vectors, vectors), fetch)
+    encoded = points if "sparse" in points.columns else with_sparse(points)
+    sparse = best_sparse(with_sparse(queries), encoded, fetch)
+    dense = best_dense(query_vectors, vectors, fetch)
     return fuse([sparse, dense], limit).select("query_id", "rank", "id", "score")
+
+
+#: Columns of a search result.
+RESULT = ("chunk_id", "score", "text", "repository", "file_path", "file_type", "language", "chunk_type", "module_type", "source_ref", "dependencies")
+
+
+def search_points(
+    queries: DataFrame, points: DataFrame, embed: Callable[[DataFrame], DataFrame], limit: int = 8, repository: str = "", file_type: str = "", module: str = "", language: str = ""
+) -> DataFrame:
+    """query_id, rank and the columns of RESULT: what a user of an index asks for.
+
+    queries: query_id, text; points: of operators.points.build_points; embed: adds dense to rows with text, as operators.embedding.embedder
+    makes it. The filters hold for both branches; where a point has no chunk_id, its id stands for it.
+    """
+    kept = filtered(points, repository=repository, file_type=file_type, module_type=module, language=language)
+    # Points have string ids; the search ranks numbers that keep their order of creation in the index, and ties go to the smaller.
+    keyed = kept.withColumn("_id", F.xxhash64("id"))
+    norm = lambda rows, key: rows.select(F.col(key), F.col("dense").alias("embedding"), F.sqrt(_dot(F.col("dense"), F.col("dense"))).alias("norm"))
+    vectors = norm(keyed, "_id").withColumnRenamed("_id", "id")
+    sparse = keyed.select(F.col("_id").alias("id"), "sparse")
+    found = hybrid_search(queries.select("query_id", "text"), norm(embed(queries.select("query_id", "text")), "query_id"), sparse, vectors, limit)
+    joined = keyed.join(broadcast_if_small(found.withColumnRenamed("id", "_id")), "_id")
+    named = joined.withColumn("chunk_id", F.coalesce(missing_if_empty(F.col("chunk_id")), F.col("id")))
+    return named.select("query_id", "rank", *RESULT)

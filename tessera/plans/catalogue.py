@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.hashing import token_bucket
 from tessera.operators import architecture, chunking, context, events, indexing, metadata, search, symbols
-from tessera.sources.tables import read_table
+from tessera.sources.tables import broadcast_if_small, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,54 +79,55 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Retrieval
 
 
-@query(TOKENS + """, fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM sparse UNION ALL SELECT query_id, id, rank FROM dense) GROUP BY ALL)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score::DOUBLE AS score FROM fused QUALIFY rank <= 5""")
-def hybrid_search(spark, sf_dir):
+def retrieval(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Benchmark items as queries, with the vectors of their ids; documents as points, and all vectors."""
     queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     points = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     vectors = search.with_norm(read_table(spark, sf_dir, "embeddings"), "vec_id")
-    asked = vectors.join(F.broadcast(queries.select(F.col("query_id").alias("id"))), "id", "left_semi").withColumnRenamed("id", "query_id")
+    asked = vectors.join(broadcast_if_small(queries.select(F.col("query_id").alias("id"))), "id", "left_semi").withColumnRenamed("id", "query_id")
+    return queries, asked, points, vectors
+
+
+@query(TOKENS + """, fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM sparse UNION ALL SELECT query_id, id, rank FROM dense) GROUP BY ALL)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score::DOUBLE AS score FROM fused QUALIFY rank <= 5""")
+def hybrid_search(spark, sf_dir):
+    queries, asked, points, vectors = retrieval(spark, sf_dir)
     return search.hybrid_search(queries, asked, points, vectors, LIMIT)
 
 
 @query(TOKENS + "SELECT query_id, rank::INTEGER AS rank, id, score FROM sparse")
 def sparse_topk(spark, sf_dir):
-    q = search.sparse_entries(read_table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
-    e = search.sparse_entries(read_table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("doc_id", "id")
-    return search.best(search.sparse_scores(q, e), LIMIT * search.OVERFETCH).select("query_id", "rank", "id", "score")
+    queries, _, points, _ = retrieval(spark, sf_dir)
+    found = search.best_sparse(search.with_sparse(queries), search.with_sparse(points), LIMIT * search.OVERFETCH)
+    return found.select("query_id", "rank", "id", "score")
 
 
 @query(TOKENS + "SELECT query_id, rank::INTEGER AS rank, id, score FROM dense")
 def dense_topk(spark, sf_dir):
-    vectors = search.with_norm(read_table(spark, sf_dir, "embeddings"), "vec_id")
-    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
-    asked = vectors.join(F.broadcast(items), "id", "left_semi").withColumnRenamed("id", "query_id")
-    return search.best(search.dense_scores(asked, vectors), LIMIT * search.OVERFETCH).select("query_id", "rank", "id", "score")
+    _, asked, _, vectors = retrieval(spark, sf_dir)
+    return search.best_dense(asked, vectors, LIMIT * search.OVERFETCH).select("query_id", "rank", "id", "score")
 
 
 @query(TOKENS + "SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (60 + rank), 9) DESC, id))::INTEGER AS rank, id, round(1.0 / (60 + rank), 9)::DOUBLE AS score FROM dense QUALIFY rank <= 5")
 def dense_only_fallback(spark, sf_dir):
     """Queries whose text has no token leave the sparse branch empty."""
-    vectors = search.with_norm(read_table(spark, sf_dir, "embeddings"), "vec_id")
-    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("1 + 1 = 2").alias("text"))
-    asked = vectors.join(F.broadcast(items.select(F.col("query_id").alias("id"))), "id", "left_semi").withColumnRenamed("id", "query_id")
-    points = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.hybrid_search(items, asked, points, vectors, LIMIT)
+    queries, asked, points, vectors = retrieval(spark, sf_dir)
+    return search.hybrid_search(queries.withColumn("text", F.lit("1 + 1 = 2")), asked, points, vectors, LIMIT)
 
 
 @query(TOKENS + """, kept AS (SELECT s.query_id, s.id, s.score FROM sscore s JOIN documents d ON d.doc_id = s.id WHERE d.lang = 'en')
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score FROM kept QUALIFY rank <= 5""")
 def filtered_search(spark, sf_dir):
     files = file_view(spark, sf_dir).withColumn("file_type", T.file_type(F.col("path")))
-    points = search.filtered(files, file_type="py", language="Python", module_type="")
-    q = search.sparse_entries(read_table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
-    e = search.sparse_entries(points, "doc_id").withColumnRenamed("doc_id", "id")
-    return search.best(search.sparse_scores(q, e), LIMIT).select("query_id", "rank", "id", "score")
+    points = search.filtered(files, file_type="py", language="Python", module_type="").select(F.col("doc_id").alias("id"), "text")
+    queries = retrieval(spark, sf_dir)[0]
+    found = search.best_sparse(search.with_sparse(queries), search.with_sparse(points), LIMIT)
+    return found.select("query_id", "rank", "id", "score")
 
 
 @query(TOKENS + """SELECT doc_id, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS indices, string_agg(val::BIGINT::VARCHAR, ',' ORDER BY idx) AS "values" FROM entries GROUP BY doc_id""")
 def sparse_vector_pack(spark, sf_dir):
-    packed = search.pack_sparse(search.sparse_entries(read_table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    packed = search.with_sparse(read_table(spark, sf_dir, "documents").select("doc_id", "text")).where("size(sparse.indices) > 0").select("doc_id", "sparse.*")
     whole = F.transform("values", lambda v: v.cast("long").cast("string"))
     return packed.select("doc_id", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"), F.array_join(whole, ",").alias("values"))
 
@@ -361,7 +362,7 @@ def array_containment_join(spark, sf_dir):
     """Items of whose long words a document contains three: containment in an array as a join on its elements."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("word"))
     items = read_table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("word"))
-    joined = docs.join(F.broadcast(items.where(F.length("word") >= 8)), "word")
+    joined = docs.join(broadcast_if_small(items.where(F.length("word") >= 8)), "word")
     return joined.groupBy("doc_id", "item_id").agg(F.count("*").alias("words")).where("words >= 3")
 
 

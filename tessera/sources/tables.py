@@ -10,6 +10,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(rows: DataFrame) -> DataFrame:
+    """rows with a broadcast hint if there are at most BROADCAST_ROWS of them, which is counted; else the join shuffles."""
+    few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(rows) if few else rows
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root), content and sha256 of every file under root.
 
@@ -21,6 +31,14 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(relative.alias("path"), "content", F.sha2("content", 256).alias("sha256"))
 
 
+def listing(files: DataFrame) -> DataFrame:
+    """path and type (directory or file) of all files and of the directories that they are in."""
+    parts = F.split("path", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    directories = files.where(F.contains("path", F.lit("/"))).select(F.explode(above).alias("path")).distinct()
+    return directories.withColumn("type", F.lit("directory")).unionByName(files.select("path", F.lit("file").alias("type")))
+
+
 def decode_text(content):
     """Bytes as UTF-8 with malformed bytes dropped."""
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
@@ -38,6 +56,24 @@ def read_sse(lines: DataFrame, schema: str) -> DataFrame:
     return data.where(F.col("x").isNotNull()).select("x.*")
 
 
+def valid_json(lines: DataFrame, schema: str, required: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """The rows of lines whose JSON parses and has the required field, with its fields, and the others as they are (dead letters)."""
+    parsed = lines.withColumn("_x", F.from_json(column, schema))
+    good = F.coalesce(F.col(f"_x.{required}").isNotNull(), F.lit(False))
+    return parsed.where(good).select(*lines.columns, "_x.*"), parsed.where(~good).drop("_x")
+
+
+def load_partition(spark: SparkSession, path: str, schema: str, **keys: str) -> DataFrame:
+    """The rows of a table written by write_partitioned that belong to keys; none where the table is missing or its files cannot be read."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(path)
+    for column, value in keys.items():
+        rows = rows.where(F.col(column) == value)
+    return rows
+
+
 def write_partitioned(rows: DataFrame, path: str, *keys: str) -> None:
     """Replace only the partitions that rows bring (state by repository and branch, points by repository)."""
     rows.write.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).mode("overwrite").parquet(path)
