@@ -24,7 +24,7 @@ from tessera.llm.shared import bounded_broadcast, materialize, unused
 #: Fixed masks: the places that each compares. Each ignores at least one between them.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 4, 7, 8))
 #: Items of fewer words have no seeds by masks.
-MASK_WORDS = min(mask[-1] for mask in MASKS) + 1
+MASK_WORDS, LOOKED_AT = min(mask[-1] for mask in MASKS) + 1, len(MASKS[0])
 AREA, AGREE = 16, 0.75
 #: Seeds (places of the benchmark times masks, each with AREA numbers) up to which they are broadcast.
 BROADCAST_SEEDS = 200_000
@@ -36,20 +36,23 @@ def word_codes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """One row for each word of codes: its index at."""
-    return rows.withColumn("at", F.explode(F.when(F.size("codes") > 0, F.sequence(F.lit(0), F.size("codes") - 1))))
+def _mask(kind: int, places: tuple[int, ...]) -> Column:
+    """A mask as a struct: kind, the places that it looks at (five, null where it has fewer), and the last one."""
+    columns = {f"p{i}": F.lit(places[i] if i < len(places) else None).cast("int") for i in range(LOOKED_AT)}
+    return F.struct(F.lit(kind).alias("kind"), F.lit(places[-1]).alias("last"), *(c.alias(k) for k, c in columns.items()))
 
 
-def _seed(kind: int, places: range | tuple[int, ...]) -> Column:
-    """The hash of the words at some places from at, null where the text ends before."""
-    return F.when(F.col("at") + max(places) < F.size("codes"), F.xxhash64(F.lit(kind), *(F.get("codes", F.col("at") + p) for p in places)))
+def with_seeds(rows: DataFrame, short: list[int], masks: bool = True) -> DataFrame:
+    """rows, one for each place at of codes and each mask that fits there, with its seed: of all masks, and of as many words in a row as short has.
 
-
-def _seeds(short: list[int]) -> Column:
-    """The seeds at a place: of all masks, and of as many words in a row as short items have."""
-    masks = [_seed(m, mask) for m, mask in enumerate(MASKS)]
-    return F.array_compact(F.array(*masks, *(_seed(-n, range(n)) for n in short)))
+    There is one hash for all masks, with its places as data: the code for it stays small enough to be compiled.
+    """
+    kinds = [_mask(m, places) for m, places in enumerate(MASKS) if masks] + [_mask(-n, tuple(range(n))) for n in short]
+    if not kinds:
+        return rows.withColumns({"at": F.lit(0), "seed": F.lit(0).cast("long")}).where(F.lit(False))
+    at = F.explode(F.when(F.size("codes") > 0, F.sequence(F.lit(0), F.size("codes") - 1)))
+    each = rows.withColumn("at", at).withColumn("mask", F.explode(F.array(*kinds))).where(F.col("at") + F.col("mask.last") < F.size("codes"))
+    return each.withColumn("seed", F.xxhash64("mask.kind", *(F.get("codes", F.col("at") + F.col(f"mask.p{i}")) for i in range(LOOKED_AT)))).drop("mask")
 
 
 def short_sizes(benchmark: DataFrame) -> list[int]:
@@ -61,13 +64,18 @@ def short_sizes(benchmark: DataFrame) -> list[int]:
 def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     """seed, item_id, the item's words around it (area) and where the area begins from the seed (shift)."""
     coded = benchmark.select("item_id", word_codes(F.col("text")).alias("codes"))
-    places = _places(coded)
     start = F.greatest(F.lit(0), F.least(F.col("at") - (AREA - MASKS[-1][-1]) // 2, F.size("codes") - AREA))
-    long = places.where(F.size("codes") >= MASK_WORDS)
-    rows = long.select("item_id", (start - F.col("at")).alias("shift"), F.slice("codes", start + 1, AREA).alias("area"), F.explode(_seeds([])).alias("seed"))
-    short = coded.where(F.size("codes").between(1, MASK_WORDS - 1)).withColumn("at", F.lit(0))
-    whole = F.coalesce(*(F.when(F.size("codes") == n, _seed(-n, range(n))) for n in range(1, MASK_WORDS)))
-    return rows.unionByName(short.select("item_id", F.lit(0).alias("shift"), F.col("codes").alias("area"), whole.alias("seed"))).distinct()
+    long = with_seeds(coded.where(F.size("codes") >= MASK_WORDS), [])
+    rows = long.select("item_id", (start - F.col("at")).alias("shift"), F.slice("codes", start + 1, AREA).alias("area"), "seed")
+    sizes = list(range(1, MASK_WORDS))
+    short = with_seeds(coded.where(F.size("codes") < MASK_WORDS), sizes, masks=False).where("at = 0")
+    whole = short.withColumn("n", F.size("codes")).where(F.col("seed") == whole_seed())
+    return rows.unionByName(whole.select("item_id", F.lit(0).alias("shift"), F.col("codes").alias("area"), "seed")).distinct()
+
+
+def whole_seed() -> Column:
+    """The seed of a short item: that of all its words."""
+    return F.xxhash64(-F.col("n"), *(F.get("codes", F.lit(i)) for i in range(LOOKED_AT)))
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -75,7 +83,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = materialize(benchmark_seeds(benchmark), "seeds")
     few = seeds.count() <= BROADCAST_SEEDS
     coded = documents.select("doc_id", word_codes(F.col("text")).alias("codes"))
-    places = _places(coded).select("doc_id", "at", F.explode(_seeds(short_sizes(benchmark))).alias("seed"))
+    places = with_seeds(coded, short_sizes(benchmark)).select("doc_id", "at", "seed")
     hits = places.join(F.broadcast(seeds) if few else seeds, "seed")
     hit = F.struct("item_id", (F.col("at") + F.col("shift")).alias("begin"), "area")
     hits = hits.select("doc_id", hit.alias("hit")).distinct().groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
