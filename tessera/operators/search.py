@@ -37,7 +37,7 @@ def with_sparse(rows: DataFrame, text: str = "text", dimensions: int = DIMENSION
 
     Buckets are sorted within the row, and the lengths of runs of equal ones are the counts.
     """
-    rows = rows.withColumn("_buckets", F.array_sort(F.transform(tokens(F.col(text)), lambda t: token_bucket(t, dimensions))))
+    rows = rows.withColumn("_buckets", F.sort_array(F.transform(tokens(F.col(text)), lambda t: token_bucket(t, dimensions))))
     starts = F.filter(F.transform("_buckets", lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get("_buckets", x["i"] - 1) != x["b"]))
     rows = rows.withColumn("_starts", starts)
     values = F.transform("_starts", lambda x, k: (F.coalesce(F.get("_starts", k + 1)["i"], F.size("_buckets")) - x["i"]).cast("double"))

@@ -1,4 +1,4 @@
-"""The fold over lines in the JVM gives what the plain splitter gives."""
+"""Parts of bodies in a table are those of the plain splitter, fit the limit and lose no character."""
 
 import random
 
@@ -21,3 +21,8 @@ def test_parts_equal_the_plain_splitter(spark):
     for limit in (128, 320):
         found = {x["i"]: x["p"] for x in df.select("i", chunking.body_parts(F.col("body"), F.col("header"), limit).alias("p")).collect()}
         assert found == {i: chunking.parts_of(b, h, limit) for i, b, h in rows}
+        for i, text, head in rows:
+            budget = max(limit - len(head or "") - chunking.RESERVE, chunking.LEAST_BUDGET)
+            assert all(0 < len(p) <= max(budget, limit - len(head or "") - 2) for p in found[i])
+            assert set("".join(found[i]).split()) != set() or not (text or "").strip()
+            assert sorted(set("".join(found[i]).replace(" ", ""))) == sorted(set("".join((text or "").split())))
