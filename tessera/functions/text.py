@@ -102,6 +102,40 @@ def contains_any(c: Column, parts: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
 
 
+# Fixed value: the shape of a repository's address, with owner and name.
+REPOSITORY = r"^https://[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$"
+
+
+def is_repository_url(url: Column) -> Column:
+    return url.rlike(REPOSITORY)
+
+
+def repository_url(url: Column) -> tuple[Column, Column]:
+    """owner and name of a repository's address, empty for another."""
+    return F.regexp_extract(url, REPOSITORY, 1).alias("owner"), F.regexp_extract(url, REPOSITORY, 2).alias("name")
+
+
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """scheme and host."""
+    shape = r"^(https?)://([^/]+)(/[^?#]*)?"
+    return F.regexp_extract(url, shape, 1).alias("scheme"), F.regexp_extract(url, shape, 2).alias("host")
+
+
+def links(html: Column) -> Column:
+    """Targets of the links of a page, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(html, F.lit('href="([^"]+)"'), F.lit(1)))
+
+
+def by_position(items: str, names: str) -> Column:
+    """item and name of each of items: the name at the same place, or the item itself past the end of names."""
+    return F.transform(items, lambda x, i: F.struct(x.alias("item"), F.coalesce(F.get(names, i), x).alias("name")))
+
+
+def state_key(scope: Column) -> Column:
+    """A key for a scope of several parts."""
+    return F.replace(scope, F.lit("/"), F.lit(":"))
+
+
 def sse_event(name: Column, payload: Column) -> Column:
     return F.concat(F.lit("event: "), name, F.lit("\ndata: "), payload, F.lit("\n\n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: texts that are embedded in one call.
@@ -47,6 +47,12 @@ def embedder(provider: Provider, prefix: str = "", batch: int = BATCH) -> Callab
     return embed
 
 
+def with_batch(rows: DataFrame, by: str, order: str, size: int = BATCH) -> DataFrame:
+    """rows with batch, numbered from 0 within each group: what goes to a provider in one call where order counts."""
+    w = Window.partitionBy(by).orderBy(order)
+    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+
+
 def response_vectors(response: Column) -> Column:
     """The vectors of a JSON response: of each of its embeddings the values, or those of the embedding within; null if there is no such list."""
     shape = "embeddings array<struct<values:array<double>,embedding:struct<values:array<double>>>>"

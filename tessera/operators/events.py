@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ API_WORDS = ("api", "route", "controller", "schema", "endpoint")
 SYSTEM_WORDS = ("docker", "compose", "infra", "service", "worker", "queue")
 SETUP_WORDS = ("package.json", "requirements.txt", "pyproject.toml", ".env")
 PULL_REQUEST_ACTIONS = ("opened", "reopened", "synchronize")
+PING = "ping"
 STATUS_TTL, CHAT_TTL, DELIVERY_TTL = 86_400, 86_400, 172_800
 MAX_ATTEMPTS, BACKOFF_MS, RETAINED = 3, 5000, 1000
 
@@ -72,16 +76,31 @@ def route_events(events: DataFrame) -> DataFrame:
 
 
 def dedupe_deliveries(deliveries: DataFrame, ttl: int = DELIVERY_TTL) -> DataFrame:
-    """Each delivery with the event that answers it: itself, or the one stored for its id if that is younger than ttl.
+    """Each delivery with the event that answers it: the record stored for its id if that is younger than ttl seconds, else itself.
+
+    A record lives from when it was stored, and a replay does not renew it. Where there is a column event, pings are
+    answered by themselves and overwrite the record. deliveries: delivery_id, event_id, ts.
 
-    A replay does not renew the stored record, so the first of each run of ttl seconds is the answer; runs
-    are counted from the first delivery of the id. deliveries: delivery_id, event_id, ts.
+    Deliveries of an id are read in order, one row at a time: sorted within partitions, with the record as all that is held.
     """
-    w = Window.partitionBy("delivery_id")
-    age = F.unix_timestamp("ts") - F.unix_timestamp(F.min("ts").over(w))
-    runs = deliveries.withColumn("run", F.floor(age / ttl))
-    first = F.first("event_id").over(Window.partitionBy("delivery_id", "run").orderBy("ts", "event_id"))
-    return runs.withColumn("answered_by", first).withColumn("duplicate", F.col("answered_by") != F.col("event_id"))
+    ping = F.col("event") == PING if "event" in deliveries.columns else F.lit(False)
+    kinds = dict(deliveries.dtypes)
+    rows = deliveries.select("delivery_id", "event_id", F.unix_micros("ts").alias("at"), F.coalesce(ping, F.lit(False)).alias("ping"))
+    rows = rows.repartition("delivery_id").sortWithinPartitions("delivery_id", "at", "event_id")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stored, since = object(), None, 0
+        for batch in batches:
+            out = []
+            for delivery, event, at, is_ping in zip(*(batch.column(c).to_pylist() for c in ("delivery_id", "event_id", "at", "ping"))):
+                if delivery != key or is_ping or at is None or at - since >= ttl * 1_000_000:
+                    key, stored, since = delivery, event, at if at is not None else since
+                out.append(stored)
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), pa.array(out, batch.schema.field("event_id").type)], names=["_event", "answered_by"])
+
+    answers = rows.mapInArrow(answer, f"_event {kinds['event_id']}, answered_by {kinds['event_id']}")
+    joined = deliveries.join(answers, F.col("event_id") == F.col("_event")).drop("_event")
+    return joined.withColumn("duplicate", F.col("answered_by") != F.col("event_id"))
 
 
 def latest_status(updates: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -100,6 +119,42 @@ def job_states(updates: DataFrame, key: str, attempts: int = MAX_ATTEMPTS) -> Da
     return last.select(key, state.alias("state"), "errors", "updates")
 
 
+# Percents and stages of a job's progress.
+STAGES = ((5, "cloning"), (20, "metadata"), (35, "diffing"), (50, "parsing"), (90, "summarizing"), (95, "documentation"), (100, "completed"))
+
+
+def progress_events(jobs: DataFrame) -> DataFrame:
+    """job_id, progress and stage of every step of jobs (job_id, doc_types); the step for documentation only where doc_types has any."""
+    steps = F.array(*(F.struct(F.lit(p).alias("progress"), F.lit(s).alias("stage")) for p, s in STAGES))
+    rows = jobs.select("job_id", "doc_types", F.explode(steps).alias("x")).select("job_id", "x.*", "doc_types")
+    return rows.where((F.col("stage") != "documentation") | (F.size("doc_types") > 0)).drop("doc_types")
+
+
+def in_order(updates: DataFrame, key: str) -> DataFrame:
+    """The updates without those that come after one of later (ts, event_id) in order of arrival (arrived)."""
+    before = Window.partitionBy(key).orderBy("arrived").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.max(F.struct("ts", "event_id")).over(before)
+    return updates.withColumn("_latest", latest).where(F.col("_latest").isNull() | (F.struct("ts", "event_id") > F.col("_latest"))).drop("_latest")
+
+
+def snapshot_and_changes(state: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """What a subscriber gets: the state of each key as of its last update in it, then the later updates. seq: 0 for the state.
+
+    state: key, ts, event_id, status; an update is never lost between the two, as the state says what it has seen.
+    """
+    columns = [key, "ts", "event_id", "status"]
+    seen = state.select(F.col(key), F.struct("ts", "event_id").alias("_seen"))
+    later = updates.join(seen, key, "left").where(F.col("_seen").isNull() | (F.struct("ts", "event_id") > F.col("_seen"))).select(*columns)
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+    return state.select(*columns, F.lit(0).alias("seq")).unionByName(later.withColumn("seq", F.row_number().over(order)))
+
+
+def with_live_state(jobs: DataFrame, state: DataFrame) -> DataFrame:
+    """jobs (job_id, status) with the status of the live state where there is one."""
+    live = state.select("job_id", F.col("status").alias("_live"))
+    return jobs.join(live, "job_id", "left").withColumn("status", F.coalesce("_live", "status")).drop("_live")
+
+
 def backoff_ms(attempt: Column, base: int = BACKOFF_MS) -> Column:
     return (F.lit(base) * F.pow(F.lit(2), attempt - 1)).cast("long")
 
@@ -110,5 +165,18 @@ def retain_last(rows: DataFrame, by: str, n: int = RETAINED) -> DataFrame:
 
 
 def unexpired(rows: DataFrame, ttl: int = STATUS_TTL) -> DataFrame:
-    newest = rows.agg(F.max("ts").alias("_now"))
+    newest = rows.agg(F.max("ts").alias("_now"))  # one row
     return rows.join(F.broadcast(newest), F.lit(True)).where(F.unix_timestamp("_now") - F.unix_timestamp("ts") < ttl).drop("_now")
+
+
+def children_left(children: DataFrame, parents_gone: DataFrame, key: str) -> DataFrame:
+    """The children that stay when parents are deleted, and theirs with them."""
+    return children.join(parents_gone, key, "left_anti")
+
+
+def all_up(*checks: DataFrame) -> DataFrame:
+    """One row, ok: whether every check (up) holds."""
+    rows = checks[0].select("up")
+    for check in checks[1:]:
+        rows = rows.unionByName(check.select("up"))
+    return rows.agg(F.coalesce(F.bool_and("up"), F.lit(False)).alias("ok"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.hashing import token_bucket
 from tessera.operators import architecture, chunking, context, events, indexing, metadata, search, symbols
-from tessera.sources.tables import broadcast_if_small, read_table
+from tessera.operators.embedding import with_batch
+from tessera.sources.tables import broadcast_if_small, read_table, valid_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -246,12 +247,10 @@ def framework_sniff(spark, sf_dir):
  regexp_extract(url, '^https://[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$', 1) AS owner,
  regexp_extract(url, '^https://[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$', 2) AS name FROM pages""")
 def url_parse(spark, sf_dir):
-    shape, parts = r"^https://[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$", r"^(https?)://([^/]+)(/[^?#]*)?"
     url = F.col("url")
-    return read_table(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_extract(url, parts, 1).alias("scheme"), F.regexp_extract(url, parts, 2).alias("host"), url.rlike(shape).alias("is_repository"),
-        F.regexp_extract(url, shape, 1).alias("owner"), F.regexp_extract(url, shape, 2).alias("name"),
-    )
+    repository = T.repository_url(url)
+    columns = [*T.url_parts(url), T.is_repository_url(url).alias("is_repository"), *repository]
+    return read_table(spark, sf_dir, "pages").select("page_id", *columns)
 
 
 @query("""SELECT page_id, coalesce(CASE WHEN length(html) - length(replace(html, chr(39), '')) >= 2 THEN string_split(html, chr(39))[2] END,
@@ -264,8 +263,7 @@ def quoted_values(spark, sf_dir):
 y AS (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS n FROM x)
 SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY min(n))::INTEGER AS position FROM y GROUP BY page_id, link""")
 def html_links(spark, sf_dir):
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))
-    rows = read_table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("n", "link"))
+    rows = read_table(spark, sf_dir, "pages").select("page_id", F.posexplode(T.links(F.col("html"))).alias("n", "link"))
     return rows.select("page_id", "link", (F.col("n") + 1).alias("position"))
 
 
@@ -341,19 +339,20 @@ def line_slice(spark, sf_dir):
 @query("""WITH x AS (SELECT page_id, regexp_extract_all(html, '<(h1|p|li)>', 1) AS tags, regexp_extract_all(html, 'href="([^"]+)"', 1) AS names FROM pages),
 y AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS n, names FROM x) SELECT page_id, (n - 1)::INTEGER AS at, tag, coalesce(names[n], tag) AS name FROM y""")
 def positional_zip(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages")
     tags, names = (F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in ("<(h1|p|li)>", 'href="([^"]+)"'))
-    rows = pages.select("page_id", names.alias("names"), F.posexplode(tags).alias("at", "tag"))
-    return rows.select("page_id", "at", "tag", F.coalesce(F.try_element_at("names", F.col("at") + 1), "tag").alias("name"))
+    rows = read_table(spark, sf_dir, "pages").select("page_id", tags.alias("tags"), names.alias("names"))
+    return rows.select("page_id", F.posexplode(T.by_position("tags", "names")).alias("at", "x")).select("page_id", "at", F.col("x.item").alias("tag"), F.col("x.name").alias("name"))
 
 
 @query("""SELECT o_orderkey, first(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_quantity > 25) AS first_part, count(l_partkey) FILTER (l_quantity > 25) AS parts
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def first_match_lookup(spark, sf_dir):
-    items = read_table(spark, sf_dir, "lineitem").where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("o_orderkey"))
-    found = items.agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("first_part"), F.count("*").alias("parts"))
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey").join(found, "o_orderkey", "left")
-    return orders.select("o_orderkey", "first_part", F.coalesce("parts", F.lit(0)).alias("parts"))
+    """Orders as files, their items as functions by line number: the handler is the first one that qualifies."""
+    item = F.struct("l_linenumber", "l_partkey", F.when(F.col("l_quantity") > 25, "yes").otherwise("no").alias("name"))
+    items = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(item)).alias("functions"))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey", "left")
+    found = F.filter("functions", lambda f: f["name"] == "yes")
+    return orders.select("o_orderkey", chunking.handler_of(F.lit("yes"))["l_partkey"].alias("first_part"), F.coalesce(F.nullif(F.size(found), F.lit(-1)), F.lit(0)).cast("long").alias("parts"))
 
 
 @query(TOKENS + """, i AS (SELECT item_id, token AS word FROM qtok WHERE length(token) >= 8)
@@ -445,7 +444,10 @@ def order_files(spark, sf_dir) -> DataFrame:
     part = F.concat(F.lit("part "), F.col("l_partkey"))
     deps = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", part.alias("p")))), lambda x: x["p"])
     path = F.concat(F.lit("order/"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"))
-    return items.groupBy(path.alias("path")).agg(deps.alias("dependencies"))
+    # The diagrams take the first files alone: those are known before any list is made.
+    first = items.select(path.alias("path")).distinct().orderBy("path").limit(architecture.MAX_FILES)
+    items = items.withColumn("path", path).join(F.broadcast(first), "path", "left_semi")
+    return items.groupBy(F.col("path").alias("path")).agg(deps.alias("dependencies"))
 
 
 @query(EDGES + "SELECT file_no, dep_no, path, dependency, source, target FROM edges")
@@ -489,11 +491,16 @@ def affected_doc_types(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", F.array_join(events.doc_types(F.array(url)), ",").alias("doc_types"))
 
 
-@query("""WITH a AS (SELECT *, (epoch_us(ts) // 1000000 - epoch_us(min(ts) OVER (PARTITION BY user_id)) // 1000000) // 172800 AS run FROM events),
-b AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS answered_by FROM a)
-SELECT event_id, user_id AS delivery_id, answered_by, answered_by <> event_id AS duplicate FROM b""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'signup' AS ping FROM events),
+stored AS (SELECT user_id, min((t, event_id)) AS k FROM e GROUP BY user_id
+ UNION ALL SELECT s.user_id, min((e.t, e.event_id)) FROM stored s JOIN e ON e.user_id = s.user_id AND (e.t, e.event_id) > s.k AND (e.ping OR e.t - s.k[1] >= 172800000000) GROUP BY s.user_id),
+r AS (SELECT user_id, k[1] AS t, k[2] AS event_id FROM stored)
+SELECT e.event_id, e.user_id AS delivery_id, (SELECT r.event_id FROM r WHERE r.user_id = e.user_id AND (r.t, r.event_id) <= (e.t, e.event_id) ORDER BY r.t DESC, r.event_id DESC LIMIT 1) AS answered_by,
+ answered_by <> e.event_id AS duplicate FROM e""")
 def delivery_dedupe(spark, sf_dir):
-    rows = event_log(spark, sf_dir).select("event_id", F.col("user_id").alias("delivery_id"), "ts")
+    """Sign-ups stand for pings, which overwrite what is stored."""
+    kind = F.when(F.col("event_type") == "signup", events.PING).otherwise("push")
+    rows = event_log(spark, sf_dir).select("event_id", F.col("user_id").alias("delivery_id"), "ts", kind.alias("event"))
     return events.dedupe_deliveries(rows).select("event_id", "delivery_id", "answered_by", "duplicate")
 
 
@@ -527,27 +534,26 @@ def top_n_retention(spark, sf_dir):
 def parent_child_cascade(spark, sf_dir):
     """Children that stay when the parents with a negative balance are deleted."""
     gone = read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(gone, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+    return events.children_left(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey").select("o_orderkey", "o_custkey")
 
 
 @query("WITH x AS (SELECT event_id, CASE WHEN json_valid(props) THEN props->>'k' END AS k FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '{bad' ELSE props END AS props FROM events)) SELECT event_id, k::BIGINT AS k FROM x WHERE k IS NOT NULL")
 def ndjson_parse(spark, sf_dir):
     line = F.when(F.col("event_id") % 9 == 0, "{bad").otherwise(F.col("props"))
-    parsed = read_table(spark, sf_dir, "events").select("event_id", F.from_json(line, "k long").alias("x"))
-    return parsed.select("event_id", "x.k").where("k is not null")
+    good, _ = valid_json(read_table(spark, sf_dir, "events").select("event_id", line.alias("value")), "k long", "k")
+    return good.select("event_id", "k")
 
 
 @query("""SELECT source, (n // 32)::BIGINT AS batch, count(*) AS texts, min(doc_id) AS first_doc FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) GROUP BY ALL""")
 def batch_assign(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = read_table(spark, sf_dir, "documents").select("source", "doc_id", F.floor((F.row_number().over(w) - 1) / 32).alias("batch"))
+    rows = with_batch(read_table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
     return rows.groupBy("source", "batch").agg(F.count("*").alias("texts"), F.min("doc_id").alias("first_doc"))
 
 
 @query("SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS answer, count(*) AS deltas FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def stream_accumulate(spark, sf_dir):
     rows = read_table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return rows.groupBy("conv_id").agg(context.joined_in_order(F.col("turn"), F.coalesce("text", F.lit("")), "").alias("answer"), F.count("*").alias("deltas"))
+    return context.accumulated(rows, "conv_id", "turn")
 
 
 @query("""SELECT (SELECT count(*) FROM nation) > 0 AND (SELECT count(*) FROM region) > 0 AND NOT EXISTS (FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)) AS ok""")
@@ -555,7 +561,7 @@ def health_rollup(spark, sf_dir):
     nation, region = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
     orphans = nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left_anti")
     checks = [nation.agg((F.count("*") > 0).alias("up")), region.agg((F.count("*") > 0).alias("up")), orphans.agg((F.count("*") == 0).alias("up"))]
-    return checks[0].unionByName(checks[1]).unionByName(checks[2]).agg(F.bool_and("up").alias("ok"))
+    return events.all_up(*checks)
 
 
 @query("""WITH s AS (SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"id":' || event_id || '}' || chr(10) || chr(10) AS frame FROM events) SELECT event_id, frame, event_id AS parsed FROM s""")
@@ -600,8 +606,19 @@ def webhook_routing(spark, sf_dir):
     return jobs.select("d.event_id", F.col("d.user_id").alias("job_id"), "repository_url", "branch", F.array_join("doc_types", ",").alias("doc_types"))
 
 
-@query("SELECT 1 AS rows, string_agg(DISTINCT CASE lang WHEN 'en' THEN 'Python' WHEN 'fr' THEN 'TypeScript' WHEN 'de' THEN 'Go' ELSE 'Java' END, ',') IS NOT NULL AS has_languages FROM documents")
+@query(FILES + """, k AS (SELECT *, CASE WHEN doc_id % 50 = 3 THEN doc_id // 50 % 5 END AS kind FROM files),
+named AS (SELECT CASE WHEN kind = 2 THEN 'Python' WHEN kind IS NULL THEN language END AS name, CASE WHEN kind = 2 THEN 'a' || doc_id || '/manage.py' ELSE path END AS path FROM k),
+counted AS (SELECT name, count(*) AS n, min(string_split(path, '/')) AS first FROM named WHERE name IS NOT NULL GROUP BY name)
+SELECT (SELECT string_agg(name, ',' ORDER BY n DESC, first) FROM counted) AS languages,
+ coalesce((SELECT string_agg(DISTINCT m, ',' ORDER BY m) FROM (SELECT CASE kind WHEN 0 THEN 'poetry' WHEN 1 THEN 'yarn' WHEN 3 THEN 'pip' END AS m FROM k)), '') AS package_managers,
+ coalesce((SELECT string_agg(DISTINCT m, ',' ORDER BY m) FROM (SELECT CASE kind WHEN 2 THEN 'Django' WHEN 3 THEN 'Flask' END AS m FROM k)), '') AS frameworks""")
 def metadata_summary(spark, sf_dir):
-    row = metadata.collection_metadata(file_view(spark, sf_dir))
-    return row.agg(F.count("*").cast("int").alias("rows"), F.bool_and(F.size("languages") > 0).alias("has_languages"))
-
+    """The file view with some lock and marker files among it; what is below node_modules does not count."""
+    n = (F.floor(F.col("doc_id") / 50) % 5).cast("int")
+    marker = F.element_at(F.array(*map(F.lit, ("poetry.lock", "yarn.lock", "manage.py", "requirements.txt", "node_modules/package-lock.json"))), n + 1)
+    planted = F.col("doc_id") % 50 == 3
+    files = file_view(spark, sf_dir).withColumns({
+        "path": F.when(planted, F.concat(F.lit("a"), F.col("doc_id"), F.lit("/"), marker)).otherwise(F.col("path")), "text": F.when(planted, F.lit("flask==2")).otherwise(F.lit("")),
+    })
+    row = metadata.collection_metadata(files)
+    return row.select(*(F.array_join(c, ",").alias(c) for c in ("languages", "package_managers", "frameworks")))
