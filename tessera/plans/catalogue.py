@@ -494,9 +494,8 @@ def affected_doc_types(spark, sf_dir):
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'signup' AS ping FROM events),
 stored AS (SELECT user_id, min((t, event_id)) AS k FROM e GROUP BY user_id
  UNION ALL SELECT s.user_id, min((e.t, e.event_id)) FROM stored s JOIN e ON e.user_id = s.user_id AND (e.t, e.event_id) > s.k AND (e.ping OR e.t - s.k[1] >= 172800000000) GROUP BY s.user_id),
-r AS (SELECT user_id, k[1] AS t, k[2] AS event_id FROM stored)
-SELECT e.event_id, e.user_id AS delivery_id, (SELECT r.event_id FROM r WHERE r.user_id = e.user_id AND (r.t, r.event_id) <= (e.t, e.event_id) ORDER BY r.t DESC, r.event_id DESC LIMIT 1) AS answered_by,
- answered_by <> e.event_id AS duplicate FROM e""")
+a AS (SELECT e.event_id, e.user_id, max(s.k)[2] AS answered_by FROM e JOIN stored s ON s.user_id = e.user_id AND s.k <= (e.t, e.event_id) GROUP BY ALL)
+SELECT event_id, user_id AS delivery_id, answered_by, answered_by <> event_id AS duplicate FROM a""")
 def delivery_dedupe(spark, sf_dir):
     """Sign-ups stand for pings, which overwrite what is stored."""
     kind = F.when(F.col("event_type") == "signup", events.PING).otherwise("push")
