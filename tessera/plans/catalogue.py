@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.hashing import token_bucket
+from tessera.functions.hashing import hmac_sha256, token_bucket
 from tessera.operators import architecture, chunking, context, events, indexing, metadata, search, symbols
 from tessera.operators.embedding import with_batch
-from tessera.sources.tables import broadcast_if_small, read_table, valid_json
+from tessera.operators.points import payload
+from tessera.sources.tables import broadcast_if_small, listing, read_table, valid_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -578,16 +579,24 @@ def setting_values(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").select("c_custkey", arguments.alias("arguments"), route.alias("route"), T.number_or(F.col("c_mktsegment"), 4.0).alias("number"))
 
 
-@query()
+@query(FILES + r""", l AS (SELECT *, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\v\f]') AS p FROM files),
+x AS (SELECT path, language, CASE language WHEN 'Python' THEN 'os, sys' WHEN 'TypeScript' THEN 'm' WHEN 'Go' THEN 'fmt' ELSE 'java.util.List' END AS deps, CASE language WHEN 'Go' THEN 'Handler' ELSE 'handler' END AS f,
+ CASE language WHEN 'Python' THEN 'GET /a' WHEN 'TypeScript' THEN 'POST /b' WHEN 'Go' THEN 'GET /c' ELSE 'GET /d' END AS route, language = 'Java' AS java, len(p) - (p[-1] = '')::INTEGER AS n FROM l)
+SELECT path, language, replace(deps, ', ', ',') AS dependencies, f AS functions, CASE WHEN java THEN 'A' ELSE '' END AS classes, CASE WHEN java THEN f ELSE '' END AS methods, f || ' ' || route AS apis,
+ CASE language WHEN 'Python' THEN '' WHEN 'Java' THEN 'A,handler' ELSE f END AS exports, CASE WHEN java THEN 4 + n END::INTEGER AS class_end,
+ 'File: ' || regexp_extract(path, '[^/]*$') || ' [' || language || ']' || chr(10) || 'Imports: ' || deps || chr(10) || 'Functions: ' || f || CASE WHEN java THEN chr(10) || 'Classes: A' ELSE '' END || chr(10) || 'APIs: ' || route AS outline FROM x""")
 def symbol_extraction(spark, sf_dir):
-    """Symbols of the file view, each text with a few declarations of its language in front."""
+    """Symbols of the file view, each text with a few declarations of its language in front; the Java class holds the whole text."""
     heads = {
         "Python": "import os, sys\n@app.get('/a')\ndef handler():\n", "TypeScript": "import x from 'm'\nexport function handler() {}\nrouter.post('/b', handler)\n",
         "Go": 'import "fmt"\nfunc Handler() {}\nr.GET("/c", Handler)\n', "Java": 'import java.util.List;\npublic class A {\n@GetMapping("/d")\npublic void handler() {}\n',
     }
     files = file_view(spark, sf_dir).withColumn("text", F.concat(metadata.lookup(heads, F.col("language")), F.coalesce("text", F.lit(""))))
     rows = symbols.extract_symbols(files)
-    return rows.select("path", "language", "dependencies", F.col("functions.name").alias("functions"), F.col("classes.name").alias("classes"), F.col("apis"), F.col("exports.name").alias("exports"))
+    lists = {"dependencies": F.col("dependencies"), "functions": F.col("functions.name"), "classes": F.col("classes.name"), "methods": F.flatten("classes.methods"), "exports": F.col("exports.name")}
+    apis = F.transform("apis", lambda a: F.concat_ws(" ", a["name"], a["method"], a["route"]))
+    joined = [F.array_join(c, ",").alias(k) for k, c in lists.items()]
+    return rows.select("path", "language", *joined, F.array_join(apis, ",").alias("apis"), F.get("classes.end_line", F.lit(0)).alias("class_end"), F.array_join("outline", "\n").alias("outline"))
 
 
 @query("""SELECT event_id, user_id::VARCHAR AS job_id, 'https://host/o/' || event_type AS repository_url, CASE event_id % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'base' ELSE 'topic' END AS branch,
@@ -621,3 +630,102 @@ def metadata_summary(spark, sf_dir):
     })
     row = metadata.collection_metadata(files)
     return row.select(*(F.array_join(c, ",").alias(c) for c in ("languages", "package_managers", "frameworks")))
+
+
+# More of what an index consists of
+
+
+@query(FILES + """SELECT 'r' AS repository, path AS file_path, lower(regexp_extract(path, '[^.]*$')) AS file_type, language, 'function' AS chunk_type, 'module' AS module_type, source AS symbol_name,
+ path || ':1-' || length(text) AS source_ref, source || ',' || lang AS dependencies, text, path || '::function::' || source || '::1' AS chunk_id FROM files""")
+def point_payload(spark, sf_dir):
+    """A function that is the whole text stands for each file."""
+    rows = file_view(spark, sf_dir).withColumns({
+        "repository": F.lit("r"), "chunk_type": F.lit("function"), "module_type": F.lit("module"), "symbol": F.col("source"), "dependencies": F.array("source", "lang"),
+        "source_ref": T.source_ref(F.col("path"), F.lit(1), F.length("text")), "chunk_id": T.chunk_id(F.col("path"), F.lit("function"), F.col("source"), F.lit(1)),
+    })
+    return payload(rows).withColumn("dependencies", F.array_join("dependencies", ","))
+
+
+@query(FILES + """, d AS (SELECT string_split(path, '/') AS p FROM files)
+SELECT path, 'file' AS type FROM files UNION ALL SELECT DISTINCT array_to_string(p[1:n], '/'), 'directory' FROM d, (VALUES (1), (2)) AS t(n)""")
+def directory_listing(spark, sf_dir):
+    return listing(file_view(spark, sf_dir))
+
+
+@query("SELECT event_id, value FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '{bad' WHEN event_id % 9 = 1 THEN '{\"j\": 1}' ELSE props END AS value FROM events) WHERE NOT json_valid(value) OR json_extract(CASE WHEN json_valid(value) THEN value ELSE '{}' END, '$.k') IS NULL")
+def dead_letters(spark, sf_dir):
+    n = F.col("event_id") % 9
+    line = F.when(n == 0, "{bad").when(n == 1, '{"j": 1}').otherwise(F.col("props"))
+    return valid_json(read_table(spark, sf_dir, "events").select("event_id", line.alias("value")), "k long", "k")[1]
+
+
+@query("""WITH k AS (SELECT unhex(rpad('6b6579', 128, '00')) AS key), p AS (SELECT event_id, encode(coalesce(props, '')) AS body FROM events),
+pads AS (SELECT unhex('5d534f' || repeat('36', 61)) AS inner_pad, unhex('373925' || repeat('5c', 61)) AS outer_pad)
+SELECT event_id, sha256(outer_pad || unhex(sha256(inner_pad || body))) AS digest FROM p, pads""")
+def hmac_digests(spark, sf_dir):
+    """The keyed digest of each body; in SQL from the two padded keys (RFC 2104)."""
+    return read_table(spark, sf_dir, "events").select("event_id", hmac_sha256("key")(F.coalesce("props", F.lit("")).cast("binary")).alias("digest"))
+
+
+@query("SELECT user_id AS job_id, s.progress::INTEGER AS progress, s.stage AS stage FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), (VALUES (5, 'cloning'), (20, 'metadata'), (35, 'diffing'), (50, 'parsing'), (90, 'summarizing'), (95, 'documentation'), (100, 'completed')) AS s(progress, stage) WHERE stage <> 'documentation' OR n % 2 = 0")
+def job_progress(spark, sf_dir):
+    """Jobs with an even number of events ask for a document."""
+    counted = read_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.count("*").alias("n"))
+    kinds = F.when(F.col("n") % 2 == 0, F.array(F.lit("api"))).otherwise(F.array().cast("array<string>"))
+    return events.progress_events(counted.select("job_id", kinds.alias("doc_types")))
+
+
+@query("""WITH j AS (SELECT user_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT user_id AS job_id, event_id, event_type AS status, (n - 3)::INTEGER AS seq FROM j WHERE n >= 3""")
+def snapshot_then_changes(spark, sf_dir):
+    """A subscriber comes after the third event of each job: the state as of that one, then what follows."""
+    log = event_log(spark, sf_dir).select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("status"))
+    third = log.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_id")))
+    state = third.where("n = 3").drop("n")
+    asked = log.join(state.select("job_id"), "job_id", "left_semi")
+    return events.snapshot_and_changes(state, asked, "job_id").select("job_id", "event_id", "status", "seq")
+
+
+@query("SELECT o_orderkey AS job_id, CASE WHEN count(l_orderkey) > 3 THEN 'completed' ELSE any_value(o_orderstatus) END AS status FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def live_state(spark, sf_dir):
+    """Orders as jobs; those with more than three items have a live state."""
+    state = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).count().where("count > 3").select("job_id", F.lit("completed").alias("status"))
+    return events.with_live_state(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status")), state)
+
+
+@query(r"""WITH t AS (SELECT lang, source, doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
+SELECT source, string_agg(lang || '|' || CASE WHEN length(t) > 600 THEN regexp_replace(t[1:600], '\s+$', '') || chr(10) || '...' ELSE t END, '#' ORDER BY n) AS snippets FROM t WHERE n <= 3 GROUP BY source""")
+def chat_snippets(spark, sf_dir):
+    """The first documents of each source as its search result."""
+    rows = read_table(spark, sf_dir, "documents").withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    found = rows.select("source", "ordinal", F.upper("lang").alias("language"), "text", F.lit("").alias("source_ref"), F.lit(None).cast("string").alias("file_path"))
+    return context.snippets(found, "source").select("source", F.array_join(F.transform("snippets", lambda x: F.concat(x["language"], F.lit("|"), x["code"])), "#").alias("snippets"))
+
+
+@query("SELECT doc_id, string_agg(substr(text, (i * 700 + 1)::INTEGER, 700), '#' ORDER BY i) AS sections FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil(length(text) / 700.0)::BIGINT))) AS i FROM documents) GROUP BY doc_id")
+def hard_sections(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.hard_split(F.col("text"), 700), "#").alias("sections"))
+
+
+@query(FILES + """, g AS (SELECT source AS name, count(*) FILTER (doc_id % 40 = 1) AS marks, count(*) AS files, 0::BIGINT AS apis, 0::BIGINT AS dependencies FROM files GROUP BY source)
+SELECT name, apis, dependencies, files FROM g WHERE marks > 0 UNION ALL SELECT 'collection', 0, 0, sum(files)::BIGINT FROM g WHERE NOT EXISTS (FROM g WHERE marks > 0) HAVING count(*) > 0""")
+def marked_services(spark, sf_dir):
+    """Services by marker files alone: some sources have a package.json in their top directory."""
+    files = file_view(spark, sf_dir).select("doc_id", "source", "path", "language", F.lit(0).alias("api_count"), F.lit(0).alias("dependency_count"))
+    markers = files.where("doc_id % 40 = 1").select(F.concat("source", F.lit("/package.json")).alias("path"))
+    return architecture.service_groups(files, files.select("path").unionByName(markers), "collection")
+
+
+@query(FILES + """, f AS (SELECT source AS name, unnest(CASE doc_id % 3 WHEN 0 THEN ['FastAPI'] WHEN 1 THEN ['Express', 'Next.js'] ELSE [NULL] END) AS f FROM files),
+g AS (SELECT name, string_agg(DISTINCT f, ',' ORDER BY f) AS frameworks FROM f GROUP BY name) SELECT name, coalesce(frameworks, '') AS frameworks FROM g""")
+def service_frameworks(spark, sf_dir):
+    n = F.col("doc_id") % 3
+    dependencies = F.when(n == 0, F.array(F.lit("FastAPI"))).when(n == 1, F.array(F.lit("express"), F.lit("next"))).otherwise(F.array().cast("array<string>"))
+    files = file_view(spark, sf_dir).select("path", dependencies.alias("dependencies"))
+    return architecture.group_frameworks(files).select("name", F.array_join("frameworks", ",").alias("frameworks"))
+
+
+@query(FILES + "SELECT 'Generated AI summary for ' || source || '. Estimated indexed files: ' || count(*) || '.' AS summary, replace(source || '/' || min(lang), '/', ':') AS key FROM files GROUP BY source")
+def collection_summaries(spark, sf_dir):
+    groups = file_view(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.min("lang").alias("lang"))
+    return groups.select(context.repository_summary(F.col("source"), F.lit(None).cast("long"), F.col("n")).alias("summary"), T.state_key(F.concat("source", F.lit("/"), "lang")).alias("key"))
