@@ -14,7 +14,8 @@ Only models with the identity normaliser, a dummy prefix and byte fallback are a
 
 Defined results: a null or empty text has no ids; a text with U+2581 decodes with spaces in its
 place, as in the reference library, and is marked as not round-trip; control names such as <s> inside a text are
-ordinary text; repeated rows are encoded alike; no rows give no rows.
+ordinary text; repeated rows are encoded alike; very long texts are encoded whole, by themselves; other columns are not read; no
+rows give no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ repetition), for which the difference has little to say.
 
 Defined results: a null or empty text has difference 0 and ratio 1; labels outside 0 and 1, or null,
 are not learned from; if one class has no labelled row, every score is the share of label 1 (1/2 without
-any label); several labels for a doc_id, or several rows of it, each count as a row.
+any label); several labels for a doc_id, or several rows of it, each count as a row; equal texts have equal scores; very long texts are
+scored whole, and left out of the fit; other columns are kept or not read, whatever they are called; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ covers few languages, sources and sizes, and a reader can leave out the other fi
 
 Defined results: a null text counts no bytes and has the checksum of the empty text; a null
 language or source is the empty string; every row, repeated ones included, gets one slot; shards
-differ by one row at most, so with fewer rows than shards some shards stay empty; an empty table
-gives no rows.
+differ by one row at most, so with fewer rows than shards some shards stay empty; rows that are equal in all of these are cut
+anywhere; texts count whole, however long; other columns are not read (write_shards keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations
