@@ -32,17 +32,32 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), F.lower)
 
 
+SPARSE = "struct<indices:array<int>,values:array<double>>"
+
+
 def with_sparse(rows: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, name: str = "sparse") -> DataFrame:
     """rows with the sparse vector of a text: its buckets, ascending, and how many tokens fall in each; null for a null text.
 
-    Buckets are sorted within the row, and the lengths of runs of equal ones are the counts.
+    Tokens are hashed and buckets sorted within the row; the lengths of runs of equal ones, taken over Arrow batches, are the counts.
     """
-    rows = rows.withColumn("_buckets", F.sort_array(F.transform(tokens(F.col(text)), lambda t: token_bucket(t, dimensions))))
-    starts = F.filter(F.transform("_buckets", lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get("_buckets", x["i"] - 1) != x["b"]))
-    rows = rows.withColumn("_starts", starts)
-    values = F.transform("_starts", lambda x, k: (F.coalesce(F.get("_starts", k + 1)["i"], F.size("_buckets")) - x["i"]).cast("double"))
-    packed = F.struct(F.col("_starts.b").alias("indices"), values.alias("values"))
-    return rows.withColumn(name, F.when(F.col(text).isNotNull(), packed)).drop("_buckets", "_starts")
+    place, schema = len(rows.columns), rows.withColumn(name, F.lit(None).cast(SPARSE)).schema
+    sorted_buckets = F.sort_array(F.transform(tokens(F.col(text)), lambda t: token_bucket(t, dimensions)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(place)
+            flat, sizes = _flat(column)
+            ends = np.cumsum(sizes)
+            first = np.ones(len(flat), bool)
+            first[1:] = flat[1:] != flat[:-1]
+            first[(ends - sizes)[sizes > 0]] = True
+            at = np.flatnonzero(first)
+            offsets = pa.array(np.r_[0, np.cumsum(first)][np.r_[0, ends]].astype(np.int32))
+            indices = pa.ListArray.from_arrays(offsets, pa.array(flat[at], pa.int32()))
+            values = pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.r_[at, len(flat)]).astype(float)))
+            yield batch.set_column(place, name, pa.StructArray.from_arrays([indices, values], names=["indices", "values"], mask=column.is_null()))
+
+    return rows.withColumn(name, sorted_buckets).mapInArrow(counted, schema)
 
 
 def sparse_entries(rows: DataFrame, key: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
