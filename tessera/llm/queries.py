@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, html, jaccard_join, pieces, quality, secrets, sharding, topk, toxicity
+from tessera.llm import chat, decontamination, html, jaccard_join, packing, pieces, quality, secrets, sharding, topk, toxicity
 from tessera.llm.shared import read_table
 
 
@@ -59,6 +59,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_conversations(turns)))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_packing": op11_packing,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
