@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, html, jaccard_join, packing, pieces, quality, secrets, sharding, topk, toxicity
-from tessera.llm.shared import read_table
+from tessera.llm import chat, decontamination, html, jaccard_join, packing, pieces, prefix_trie, quality, secrets, sharding, topk, toxicity
+from tessera.llm.shared import discard, read_table
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,13 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = prefix_trie.ordered_turns(read_table(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.prefix_trie(prefix_trie.rebuilt(ordered))
+    discard(ordered)
+    return nodes
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -75,6 +82,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_packing": op11_packing,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
