@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, html, jaccard_join, packing, pieces, prefix_trie, quality, secrets, sharding, topk, toxicity
-from tessera.llm.shared import discard, read_table
+from tessera.llm import chat, decontamination, html, jaccard_join, packing, pieces, prefix_trie, quality, secrets, sharding, spelling, topk, toxicity
+from tessera.llm.shared import discard, materialize, read_table
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(materialize(spelling.vocabulary(read_table(spark, sf_dir, "documents")), "words"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -83,6 +87,7 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_packing": op11_packing,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
