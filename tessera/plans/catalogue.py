@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.hashing import hmac_sha256, token_bucket
-from tessera.operators import architecture, chunking, context, events, indexing, metadata, search, symbols
+from tessera.operators import architecture, chunking, context, events, indexing, metadata, payload_index, postings, search, symbols
 from tessera.operators.embedding import with_batch
 from tessera.operators.points import payload
-from tessera.sources.tables import broadcast_if_small, listing, read_table, valid_json
+from tessera.sources.tables import broadcast_if_small, listing, read_table, valid_json, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,6 +141,53 @@ def token_bucket_collisions(spark, sf_dir):
     return counted.groupBy(token_bucket(F.col("token"), search.DIMENSIONS).alias("idx")).agg(F.count("*").alias("tokens"), F.sum("count").alias("uses"))
 
 
+@query(TOKENS + "SELECT query_id, rank::INTEGER AS rank, id, score FROM sparse")
+def sparse_postings_topk(spark, sf_dir):
+    """sparse_topk from a stored table of postings."""
+    queries, _, points, _ = retrieval(spark, sf_dir)
+    folder = work_folder(spark)
+    postings.write_index(search.with_sparse(points), folder)
+    found = postings.search_index(spark, search.with_sparse(queries), folder, LIMIT * search.OVERFETCH)
+    return found.select("query_id", "rank", "id", "score")
+
+
+WORDS = """WITH d AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: length(w) BETWEEN 2 AND 64)) AS word FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: length(w) BETWEEN 2 AND 64)) AS word FROM benchmark)
+"""
+
+
+@query(WORDS + "SELECT item_id AS query_id, doc_id AS id FROM (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM q) JOIN d USING (word) GROUP BY item_id, doc_id, n HAVING count(*) = n")
+def full_text_match(spark, sf_dir):
+    """The documents that hold all words of an item, from a stored inverted table."""
+    queries, _, points, _ = retrieval(spark, sf_dir)
+    folder = work_folder(spark)
+    payload_index.write_postings(points, folder)
+    return payload_index.matching(queries, spark.read.parquet(folder))
+
+
+def points_view(spark, sf_dir) -> DataFrame:
+    """The file view as points: one of each file, with the keywords of its path and language."""
+    files = file_view(spark, sf_dir)
+    module = F.when(F.col("doc_id") % 2 == 0, "class_module").otherwise("module")
+    return files.select(F.col("doc_id").alias("id"), F.col("source").alias("repository"), F.col("path").alias("file_path"), T.file_type(F.col("path")).alias("file_type"), "language", module.alias("module_type"), "text")
+
+
+@query(FILES + """SELECT f.doc_id AS id, f.path AS file_path, f.source AS repository, length(f.text) AS chars FROM files f JOIN diff USING (path) WHERE status IN ('changed', 'removed') AND doc_id % 2 = 0""")
+def clustered_lookup(spark, sf_dir):
+    """Points of one module type in changed and removed files, from a clustered table."""
+    folder = work_folder(spark)
+    payload_index.write_points(points_view(spark, sf_dir), folder)
+    stale = indexing.stale_paths(indexing.diff(*snapshots(spark, sf_dir))).select(F.col("path").alias("file_path"))
+    found = payload_index.read_points(spark, folder, module_type="class_module").join(stale, "file_path", "left_semi")
+    return found.select("id", "file_path", "repository", F.length("text").alias("chars"))
+
+
+@query(FILES + """SELECT field, value, count(*) AS points FROM (SELECT unnest(['file_path', 'file_type', 'language', 'module_type']) AS field,
+ unnest([path, regexp_extract(path, '[^.]*$'), language, CASE WHEN doc_id % 2 = 0 THEN 'class_module' ELSE 'module' END]) AS value FROM files) GROUP BY ALL""")
+def keyword_facets(spark, sf_dir):
+    return payload_index.keyword_values(points_view(spark, sf_dir))
+
+
 # Incremental indexing
 
 
