@@ -38,7 +38,7 @@ END = 2
 #: Open windows at which a task settles them.
 OPEN = 2048
 #: Distinct runs of characters that a worker remembers at most; then it starts anew. A matter of speed only.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 21
 #: Bare words that are encoded in one call.
 AT_ONCE = 4096
 
