@@ -1,23 +1,23 @@
-"""Symbols of source files in five languages.
+"""Symbols of source files in five languages, and in those that are added to the registry.
 
-Declarations, imports, routes, exports and comments are found by patterns that run as column expressions, line by line
-where they can; the patterns follow the languages' grammars and the documentation of the web frameworks. One small
-function on Arrow batches finds where blocks end: by braces, or by indentation.
+One pass over a text (operators.nesting) finds its tokens, what is comment or string, and where blocks begin and end: by braces, or by
+indentation. Declarations, imports, routes and exports are found by patterns on what is left, as column expressions; they follow the
+languages' grammars and the documentation of the web frameworks. Comments are found by a pattern of the whole text.
 
-There is no syntax tree, so node counts and root types are not given.
+The tree is that of brackets: node_count counts its tokens, pairs and root. Root types are not given.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import base_name, contains_any, non_blank, split_lines, strip
+from tessera.functions.text import base_name, contains_any, non_blank, strip
 from tessera.operators.metadata import is_ignored, is_parsed, language_of, sorted_set
+from tessera.operators.nesting import scanned
 
 # Items of each outline line, and characters of an export without a name.
 OUTLINE_ITEMS, EXPORT_CHARS = 8, 80
@@ -38,6 +38,9 @@ class Language:
     functions, classes: patterns of a line whose last group is the name; interfaces: the same, for the classes among them that are interfaces.
     route: a pattern of the text, with the groups of receiver (0: none), method and the possible places of the route.
     positional: whether the n-th route belongs to the n-th function.
+    Hooks, for languages that are added: find_imports and find_exports take the text and its lines, without comments, and give arrays like IMPORTS and EXPORTS
+    (find_exports also takes functions and classes); extra_imports adds to the imports of a language that has its own; find_routes gives an array of
+    method, route, source and fallback (the name of a route that no function handles). Without a hook, an added language has no imports and no exports.
     """
 
     suffixes: tuple[str, ...]
@@ -52,6 +55,10 @@ class Language:
     indented: bool = False
     comments: str = r"(?s)/\*.*?\*/|(?<![:\w\"'`/])//[^\n]*"
     exports: str = ""
+    find_imports: Callable[[Column, Column], Column] | None = None
+    extra_imports: Callable[[Column, Column], Column] | None = None
+    find_exports: Callable[[Column, Column, Column, Column], Column] | None = None
+    find_routes: Callable[[Column, Column], Column] | None = None
 
 
 _VERBS = "get|post|put|patch|delete|options|head"
@@ -105,57 +112,6 @@ REGISTRY: dict[str, Language] = {
 }
 
 
-def block_ends(text: str, starts: list[int], indented: bool) -> list[int]:
-    """The last line of the block that begins on each of the lines starts (from 1).
-
-    With braces: the line of the brace that closes the first one opened, or the declaration's own line if a semicolon or
-    another declaration comes first. By indentation: the last line before a statement that is not indented further than the start.
-    """
-    lines = text.splitlines()
-    out = []
-    if indented:
-        depth, level = 0, []  # level: indentation of a line that begins a statement, else None
-        for line in lines:
-            bare = line.split("#")[0]
-            level.append(len(line) - len(line.lstrip()) if not depth and bare.strip() else None)
-            depth = max(0, depth + sum(map(bare.count, "([{")) - sum(map(bare.count, ")]}")))
-        for start in starts:
-            end = start
-            for n in range(start, len(lines)):
-                if level[n] is not None and level[n] <= (level[start - 1] or 0):
-                    break
-                end = n + 1
-            out.append(end)
-        return out
-    bare = [re.sub(r"//.*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", "", line) for line in lines]
-    others = set(starts)
-    for start in starts:
-        depth, end, opened = 0, start, False
-        for n in range(start - 1, len(lines)):
-            if n >= start and not opened and n + 1 in others:
-                break
-            for c in re.findall("[{};]", bare[n]):
-                depth += {"{": 1, "}": -1}.get(c, 0)
-                opened = opened or c == "{"
-                if depth <= 0 and (opened or c == ";"):
-                    break
-            else:
-                continue
-            end = n + 1
-            break
-        else:
-            end = len(lines) if opened else start
-        out.append(max(start, end))
-    return out
-
-
-def _ends(text: Column, starts: Column, indented: Column) -> Column:
-    def ends(texts: pd.Series, starts: pd.Series, indented: pd.Series) -> pd.Series:
-        return pd.Series([block_ends(t or "", [int(s) for s in own], bool(i)) if len(own) else [] for t, own, i in zip(texts, starts, indented)])
-
-    return F.pandas_udf(ends, "array<int>")(text, starts, indented)
-
-
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -170,10 +126,18 @@ def first_by(items: Column, key) -> Column:
     return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
 
 
-def _declared(lines: Column, patterns: tuple[str, ...]) -> Column:
-    """name, start_line and line of the first declaration on each line that has one; the first of a name counts."""
-    numbered = F.transform(lines, lambda line, i: F.struct(F.get(_joined(line, patterns), F.lit(0)).alias("name"), (i + 1).alias("start_line"), line.alias("line")))
-    return first_by(F.filter(numbered, lambda x: x["name"].isNotNull()), lambda x: x["name"])
+def _declared(pieces: Column, patterns: tuple[str, ...]) -> Column:
+    """The first declaration of each piece that has one, with the piece: name, start_line, line (the piece's text), at, opens and ends."""
+    made = F.transform(
+        pieces,
+        lambda p, i: F.struct(F.get(_joined(p["text"], patterns), F.lit(0)).alias("name"), p["line"].alias("start_line"), p["text"].alias("line"), i.alias("at"), p["opens"].alias("opens"), p["ends"].alias("ends")),
+    )
+    return F.filter(made, lambda x: x["name"].isNotNull())
+
+
+def _by_name(items: Column) -> Column:
+    """items without those whose name an earlier one has."""
+    return first_by(items, lambda x: x["name"])
 
 
 def _split_arguments(listed: Column) -> Column:
@@ -185,8 +149,11 @@ def _after_as(names: Column) -> Column:
     return F.transform(names, lambda n: F.regexp_replace(n, r"\s+as\s+\S+\s*$", ""))
 
 
-def _imports(language: str, text: Column, lines: Column) -> Column:
+def _imports(language: str, own: Language, text: Column, lines: Column) -> Column:
     """module, names and start_line of each import, in order; of equal ones the first."""
+    if own.find_imports or language not in REGISTRY:
+        found = own.find_imports(text, lines).cast(IMPORTS) if own.find_imports else F.array().cast(IMPORTS)
+        return first_by(F.filter(found, lambda x: x["module"] != ""), lambda x: F.struct(x["module"], x["names"]))
 
     def of_lines(make, wanted: str) -> Column:
         numbered = F.filter(F.transform(lines, lambda line, i: F.struct(line.alias("line"), (i + 1).alias("n"))), lambda x: x["line"].rlike(wanted))
@@ -221,11 +188,17 @@ def _imports(language: str, text: Column, lines: Column) -> Column:
     else:
         pattern = r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;"
         found = of_lines(lambda line, n: F.array(one(F.regexp_extract(line, pattern, 1), F.array(F.substring_index(F.regexp_extract(line, pattern, 1), ".", -1)), n)), pattern)
+    if own.extra_imports:
+        found = F.concat(found.cast(IMPORTS), own.extra_imports(text, lines).cast(IMPORTS))
     return first_by(F.filter(found, lambda x: x["module"] != ""), lambda x: F.struct(x["module"], x["names"])).cast(IMPORTS)
 
 
-def _routes(language: Language, text: Column) -> Column:
+def _routes(language: Language, text: Column, lines: Column) -> Column:
     """method, route and source of each route, in order."""
+    if language.find_routes:
+        return language.find_routes(text, lines)
+    if not language.route:
+        return F.array()
     found = [_all(text, language.route, g) for g in (language.method, *language.places)]
     places = F.arrays_zip(*(x.alias(f"c{i}") for i, x in enumerate(found)), (_all(text, language.route, language.receiver) if language.receiver else found[0]).alias("source"))
 
@@ -248,6 +221,8 @@ def _exports(name: str, language: Language, text: Column, lines: Column) -> Colu
         return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind"), (F.lit(False) if default is None else default).alias("is_default"))).cast(EXPORTS)
 
     functions, classes = F.col("functions"), F.col("classes")
+    if language.find_exports or name not in REGISTRY:
+        return language.find_exports(text, lines, functions, classes) if language.find_exports else F.array().cast(EXPORTS)
     names = lambda items: F.transform(items, lambda x: x["name"])
     if name == "Python":
         values = F.split(F.regexp_extract(text, r"__all__\s*=\s*[\[(]([^\])]*)[\])]", 1), ",", -1)
@@ -293,13 +268,14 @@ def _comments(pattern: str, text: Column) -> Column:
 
 def _described(x: Column, lines: Column, indented: bool) -> Column:
     """A function: its signature, the text before its block, and what that says."""
-    code = F.array_join(F.slice(lines, x["start_line"], F.greatest(x["end_line"] - x["start_line"] + 1, F.lit(1))), "\n")
+    whole = F.array_join(F.slice(lines, x["start_line"], F.greatest(x["end_line"] - x["start_line"] + 1, F.lit(1))), "\n")
+    code = F.when(whole.startswith(x["line"]), whole).otherwise(x["line"])  # a declaration behind another one on its line has its piece alone
     head = F.regexp_extract(code, r"(?s)^(.*?\)[^:\n]*):", 1) if indented else F.regexp_replace(F.substring_index(code, "{", 1), r"\s*(?:=>)?\s*;?\s*$", "")
     signature = strip(F.when(head == "", x["line"]).otherwise(head))
     parameters = F.regexp_extract(signature, r"(?s)^(?:func\s*\([^)]*\)\s*)?[^(]*\(((?:[^()]|\([^()]*\))*)\)", 1)
     return F.struct(
         x["name"].alias("name"), signature.alias("signature"), signature.rlike(r"(?:^|[\s=])async\b").alias("is_async"), _split_arguments(parameters).alias("parameters"),
-        x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["line"].alias("line"),
+        x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["line"].alias("line"), x["at"].alias("at"),
     )
 
 
@@ -318,46 +294,54 @@ def _by_language(language: Column, registry: dict[str, Language], make, kind: st
     return F.coalesce(out, F.array().cast(kind))
 
 
-DECLARED = "array<struct<name:string,start_line:int,line:string>>"
-FUNCTIONS = "array<struct<name:string,signature:string,is_async:boolean,parameters:array<string>,start_line:int,end_line:int,line:string>>"
+DECLARED = "array<struct<name:string,start_line:int,line:string,at:int,opens:int,ends:int>>"
+FUNCTIONS = "array<struct<name:string,signature:string,is_async:boolean,parameters:array<string>,start_line:int,end_line:int,line:string,at:int>>"
 
 
 def extract_symbols(files: DataFrame, registry: dict[str, Language] = REGISTRY) -> DataFrame:
-    """files (path, language, text) with imports, exports, functions, classes, apis, comments, dependencies and outline.
+    """files (path, language, text) with imports, exports, functions, classes, apis, comments, dependencies, outline and node_count.
 
-    api_references are the apis with what they were called on. The result is what chunking.chunks takes. Null texts count as empty; files of other languages have empty lists.
+    api_references are the apis with what they were called on. The result is what chunking.chunks takes. Functions and classes of one name are listed once, the first;
+    each class has all its methods, whatever others are called. Null texts count as empty; files of other languages have empty lists.
     """
-    language, rows = F.col("language"), files.withColumn("_text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("_lines", split_lines(F.col("_text")))
-    text, lines = F.col("_text"), F.col("_lines")
+    language = F.col("language")
+    indented = language.isin(*[name for name, p in registry.items() if p.indented])
+    rows = scanned(files, "_scan", indented).withColumn("_text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumns({"_lines": F.col("_scan.lines"), "_pieces": F.col("_scan.pieces"), "_bare": F.array_join("_scan.lines", "\n")})
+    text, lines, pieces = F.col("_bare"), F.col("_lines"), F.col("_pieces")
 
     def by(make, kind):
         return _by_language(language, registry, make, kind)
 
     rows = rows.withColumns({
-        "_functions": by(lambda _, p: _declared(lines, p.functions), DECLARED),
-        "_classes": by(lambda _, p: _declared(lines, p.classes), DECLARED),
+        "_functions": by(lambda _, p: _declared(pieces, p.functions), DECLARED),
+        "_classes": by(lambda _, p: _declared(pieces, p.classes), DECLARED),
         "_interfaces": by(lambda _, p: F.flatten(F.transform(lines, lambda line: _joined(line, p.interfaces))), STRINGS),
-        "_routes": by(lambda _, p: _routes(p, text), "array<struct<method:string,route:string,source:string,fallback:string>>"),
-        "imports": by(lambda n, _: _imports(n, text, lines), IMPORTS),
-        "comments": by(lambda _, p: _comments(p.comments, text), "array<struct<text:string,kind:string,start_line:int,end_line:int>>"),
+        "_routes": by(lambda _, p: _routes(p, text, lines), "array<struct<method:string,route:string,source:string,fallback:string>>"),
+        "imports": by(lambda n, p: _imports(n, p, text, lines), IMPORTS),
+        "comments": by(lambda _, p: _comments(p.comments, F.col("_text")), "array<struct<text:string,kind:string,start_line:int,end_line:int>>"),
+        "node_count": F.col("_scan.nodes"),
     })
-    starts = F.transform(F.concat("_functions", "_classes"), lambda x: x["start_line"])
-    indented = [name for name, p in registry.items() if p.indented]
-    rows = rows.withColumn("_ends", _ends(text, starts, language.isin(*indented)))
-    n = F.size("_functions")
-    ended = F.transform("_functions", lambda x, i: x.withField("end_line", F.get("_ends", i)))
-    rows = rows.withColumn("functions", F.when(language.isin(*indented), F.transform(ended, lambda x: _described(x, lines, True))).otherwise(F.transform(ended, lambda x: _described(x, lines, False))).cast(FUNCTIONS))
-
-    def of_class(x: Column, i: Column) -> Column:
-        end = F.get("_ends", n + i)
-        inside = F.filter("functions", lambda f: (f["start_line"] > x["start_line"]) & (f["end_line"] <= end))
-        received = F.filter("functions", lambda f: F.regexp_extract(f["line"], r"^func\s*\(\s*\w*\s*\*?\s*(\w+)", 1) == x["name"])
+    rows = rows.withColumn("_places", F.array_sort(F.array_distinct(F.transform(F.concat("_functions", "_classes"), lambda x: x["at"]))))
+
+    def ended(x: Column) -> Column:
+        """A block ends where it closes, unless another declaration begins before it opens."""
+        following = F.get("_places", F.array_position(F.col("_places"), x["at"]).cast("int"))
+        own = (x["opens"] >= 0) & (following.isNull() | (following > x["opens"]))
+        return x.withField("end_line", F.when(own, F.greatest("_one", x["ends"], x["start_line"])).otherwise(x["start_line"]))
+
+    rows = rows.withColumn("_one", F.lit(1)).withColumns({c: F.transform(c, ended) for c in ("_functions", "_classes")})
+    described = F.when(indented, F.transform("_functions", lambda x: _described(x, lines, True))).otherwise(F.transform("_functions", lambda x: _described(x, lines, False)))
+    rows = rows.withColumn("_described", described.cast(FUNCTIONS)).withColumn("functions", _by_name(F.col("_described")))
+
+    def of_class(x: Column) -> Column:
+        inside = F.filter("_described", lambda f: (f["at"] > x["at"]) & (f["end_line"] <= x["end_line"]))
+        received = F.filter("_described", lambda f: F.regexp_extract(f["line"], r"^func\s*\(\s*\w*\s*\*?\s*(\w+)", 1) == x["name"])
         methods = F.transform(F.when(language == "Go", received).otherwise(inside), lambda f: f["name"])
         kind = F.when(F.array_contains("_interfaces", x["name"]) | x["line"].rlike(r"^(?:type\s+|\t)\w+\s+interface\b"), "interface").otherwise("class")
-        return F.struct(x["name"].alias("name"), kind.alias("kind"), _bases(x["line"]).alias("bases"), methods.alias("methods"), x["start_line"].alias("start_line"), end.alias("end_line"))
+        return F.struct(x["name"].alias("name"), kind.alias("kind"), _bases(x["line"]).alias("bases"), methods.alias("methods"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"))
 
-    rows = rows.withColumn("classes", F.transform("_classes", of_class))
+    rows = rows.withColumn("classes", F.transform(_by_name(F.col("_classes")), of_class))
     names = F.transform("functions", lambda f: f["name"])
     positional = language.isin(*(k for k, p in registry.items() if p.positional))
     # By position where routes precede their handlers; otherwise one name stands for the file: the least.
@@ -368,10 +352,10 @@ def extract_symbols(files: DataFrame, registry: dict[str, Language] = REGISTRY)
     rows = rows.withColumn("api_references", F.concat(apis, F.when(language == "TypeScript", handlers).otherwise(F.array().cast(APIS))).cast(APIS))
     rows = rows.withColumn("apis", F.transform("api_references", lambda a: a.dropFields("source")))
     rows = rows.withColumn("exports", first_by(by(lambda name, p: _exports(name, p, text, lines), EXPORTS), lambda x: x))
-    rows = rows.withColumn("functions", F.transform("functions", lambda f: f.dropFields("line")))
+    rows = rows.withColumn("functions", F.transform("functions", lambda f: f.dropFields("line", "at")))
     modules = F.transform("imports", lambda x: x["module"])
     rows = rows.withColumns({"dependencies": F.array_sort(F.array_distinct(modules)), "outline": outline(modules)})
-    return rows.drop("_text", "_lines", "_functions", "_classes", "_interfaces", "_routes", "_ends")
+    return rows.drop("_scan", "_text", "_lines", "_pieces", "_bare", "_functions", "_classes", "_interfaces", "_routes", "_places", "_one", "_described")
 
 
 def outline(modules: Column) -> Column:

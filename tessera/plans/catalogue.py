@@ -646,6 +646,18 @@ def symbol_extraction(spark, sf_dir):
     return rows.select("path", "language", *joined, F.array_join(apis, ",").alias("apis"), F.get("classes.end_line", F.lit(0)).alias("class_end"), F.array_join("outline", "\n").alias("outline"))
 
 
+@query(r"""SELECT doc_id, 'A: get; B: get, put' AS methods, 'get,put' AS functions, 'm: x, y' AS imports, 5 + len(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\v\f]'))::INTEGER AS second_class FROM documents""")
+def class_methods(spark, sf_dir):
+    """Each whole text as a comment in front of two classes that have a method of one name, and of an import over several lines."""
+    code = "class A {\n  get() {\n  }\n}\nclass B {\n  get() {\n  }\n  put() {\n  }\n}\nimport {\n  x,\n  y\n} from 'm'\n"
+    inside = F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("* /"))
+    files = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id"), F.lit(".ts")).alias("path"), F.lit("TypeScript").alias("language"), F.concat(F.lit("/* function no() {\t"), inside, F.lit(" */\n" + code)).alias("text"))
+    rows = symbols.extract_symbols(files)
+    listed = lambda items, name, own: F.transform(items, lambda x: F.concat(x[name], F.lit(": "), F.array_join(x[own], ", ")))
+    methods, imports = F.array_join(listed("classes", "name", "methods"), "; "), F.array_join(listed("imports", "module", "names"), "; ")
+    return rows.select("doc_id", methods.alias("methods"), F.array_join("functions.name", ",").alias("functions"), imports.alias("imports"), F.get("classes.start_line", F.lit(1)).alias("second_class"))
+
+
 @query("""SELECT event_id, user_id::VARCHAR AS job_id, 'https://host/o/' || event_type AS repository_url, CASE event_id % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'base' ELSE 'topic' END AS branch,
  CASE event_id % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'readme,architecture,api,onboarding' ELSE 'architecture,api' END AS doc_types FROM events WHERE event_type <> 'error'""")
 def webhook_routing(spark, sf_dir):

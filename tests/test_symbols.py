@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import chunking, symbols
 
@@ -146,7 +147,7 @@ def test_python(rows):
 
 def test_typescript(rows):
     r = rows["src/b.ts"]
-    assert [(i["module"], i["names"]) for i in r["imports"]] == [("m", ["def", "a", "b", "c"]), ("types", ["T"]), ("./long", []), ("z", [])]
+    assert [(i["module"], i["names"]) for i in r["imports"]] == [("m", ["def", "a", "b", "c"]), ("types", ["T"]), ("./long", ["long"]), ("z", [])]
     assert places(r, "classes") == {"B": (8, 15), "I": (16, 16)} and [c["kind"] for c in r["classes"]] == ["class", "interface"]
     assert r["classes"][0]["methods"] == ["constructor", "load"] and r["classes"][0]["bases"] == ["Base", "I", "J"]
     assert places(r, "functions") == {"constructor": (9, 11), "load": (12, 14), "f": (17, 19), "GET": (20, 21)}
@@ -192,3 +193,108 @@ def test_chunks_take_extracted_symbols(parsed):
     assert set(kinds) == {"module", "class", "function", "route"} and kinds["class"].count("A") == 1
     related = {r["symbol"]: r["related"] for r in found if r["chunk_type"] == "function" and r["path"] == "a.py"}
     assert related == {"run": [], "one": ["A"], "two": ["A"]}
+
+
+PROBES = {
+    "one.ts": """/*
+function commented() {
+}
+*/
+class A { get(x: {a: number}) { return "}" }
+  put() {
+  }
+}
+class B {
+  get() {
+    return `
+function quoted() {
+}`
+  }
+}
+""",
+    "two.py": """from os import (
+    path,  # a comment
+    sep as s,
+)
+'''
+def quoted():
+    pass
+'''
+class A:
+    def get(self): return 1
+
+class B:
+    def get(self):
+        return (1,
+2)
+    def put(self):
+        pass
+""",
+    "three.java": """import a.B;
+class A { int get() { return 1; } }
+class B {
+  int get() { return "{".length(); }
+  /* int hidden() { */
+  abstract int later(int a,
+    int b);
+}
+""",
+    "four.go": "package x\n\ntype A struct {\n}\n\ntype B struct {\n}\n\nfunc (a A) Get() {\n}\n\nfunc (b *B) Get() {\n}\n",
+}
+
+
+def test_scopes_of_comments_strings_and_repeated_names(spark):
+    found = {r["path"]: r for r in symbols.parse_files(spark.createDataFrame(list(PROBES.items()), "path string, text string")).collect()}
+    methods = {p: {c["name"]: c["methods"] for c in r["classes"]} for p, r in found.items()}
+    assert methods == {"one.ts": {"A": ["get", "put"], "B": ["get"]}, "two.py": {"A": ["get"], "B": ["get", "put"]}, "three.java": {"A": ["get"], "B": ["get", "later"]}, "four.go": {"A": ["Get"], "B": ["Get"]}}
+    assert places(found["one.ts"], "functions") == {"get": (5, 5), "put": (6, 7)} and places(found["one.ts"], "classes") == {"A": (5, 8), "B": (9, 15)}
+    assert places(found["two.py"], "classes") == {"A": (9, 11), "B": (12, 17)} and [(i["module"], i["names"], i["start_line"]) for i in found["two.py"]["imports"]] == [("os", ["path", "sep"], 1)]
+    assert places(found["three.java"], "functions") == {"get": (2, 2), "later": (6, 7)}
+    assert {f["name"]: f["signature"] for f in found["one.ts"]["functions"]}["put"] == "put()"
+    assert [c["kind"] for c in found["one.ts"]["comments"]] == ["block_comment"]
+
+
+def test_node_counts_and_token_tables(spark):
+    from tessera.operators import nesting
+
+    sources = {"a.ts": "f(a, [1]) // c\n", "b.py": "x = {'k': (1, 2)} # (\n", "c.ts": "", "d.ts": ") }"}
+    rows = spark.createDataFrame(list(sources.items()), "path string, text string")
+    found = {r["path"]: r["node_count"] for r in symbols.parse_files(rows).collect()}
+    # f ( a , [ 1 ] ) //c: a leaf each, pairs once, and the root; closing brackets that close nothing are none.
+    assert found == {"a.ts": 8, "b.py": 11, "c.ts": 1, "d.ts": 1}
+    table = nesting.token_table(rows, F.col("path").endswith(".py")).where("path = 'a.ts'").orderBy("at").collect()
+    assert [(r["kind"], r["token"], r["depth"], r["parent"]) for r in table] == [
+        ("word", "f", 0, None), ("open", "(", 0, None), ("word", "a", 1, 1), ("mark", ",", 1, 1), ("open", "[", 1, 1), ("word", "1", 2, 4), ("close", "]", 1, 1), ("close", ")", 0, None), ("comment", "// c", 0, None),
+    ]
+
+
+def test_added_languages_have_hooks(spark):
+    def names(text, kind):
+        return F.transform(F.regexp_extract_all(text, F.lit(kind), F.lit(1)), lambda n: F.struct(n.alias("module"), F.array().cast("array<string>").alias("names"), F.lit(None).cast("int").alias("start_line")))
+
+    def exports(text, lines, functions, classes):
+        return F.transform(functions, lambda f: F.struct(f["name"].alias("name"), F.lit("fn").alias("kind"), F.lit(False).alias("is_default")))
+
+    plain = symbols.Language((".rs",), (r"^\s*(?:pub\s+)?fn\s+(\w+)",), ())
+    hooked = symbols.Language((".rs",), (r"^\s*(?:pub\s+)?fn\s+(\w+)",), (), find_imports=lambda text, lines: names(text, r"(?m)^use\s+([\w:]+)"), find_exports=exports)
+    rows = spark.createDataFrame([("a.rs", "use std::io;\nexport fn no() {}\nfn run() {\n}\n// fn hidden() {}\n")], "path string, text string")
+    bare = symbols.parse_files(rows, symbols.REGISTRY | {"Rust": plain}).first()
+    assert bare["imports"] == [] and bare["exports"] == [] and names_of(bare) == ["run"]
+    full = symbols.parse_files(rows, symbols.REGISTRY | {"Rust": hooked}).first()
+    assert [i["module"] for i in full["imports"]] == ["std::io"] and [tuple(e) for e in full["exports"]] == [("run", "fn", False)]
+
+
+def names_of(row):
+    return [f["name"] for f in row["functions"]]
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    from tessera.operators.nesting import scan
+
+    for text in ("{" * 200_000, '"' * 100_001, "/*" * 100_000, "`a{" * 60_000, "'''" * 99_999, "(\n" * 100_000, "import {\n" * 50_000, "{;" * 90_000, "class A { f() {\n" * 4000):
+        for indented in (True, False):
+            began = time.process_time()
+            scan(text, indented)
+            assert time.process_time() - began < 10
