@@ -159,6 +159,17 @@ def backoff_ms(attempt: Column, base: int = BACKOFF_MS) -> Column:
     return (F.lit(base) * F.pow(F.lit(2), attempt - 1)).cast("long")
 
 
+def retries_due(updates: DataFrame, key: str, attempts: int = MAX_ATTEMPTS, base: int = BACKOFF_MS) -> DataFrame:
+    """key, attempt and due_at of every retry that errors have scheduled by the time of the newest update: backoff_ms after an error that leaves an attempt, unless another update of the key comes earlier."""
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+    errors = F.count_if(F.col("status") == "retrying").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    placed = updates.select(key, "ts", "status", errors.alias("errors"), F.lead("ts").over(order).alias("_next")).where(F.col("status") == "retrying")
+    due = F.timestamp_micros(F.unix_micros("ts") + backoff_ms(F.col("errors"), base) * 1000)
+    newest = updates.agg(F.max("ts").alias("_now"))  # one row
+    rows = placed.where(F.col("errors") < attempts).withColumn("due_at", due).join(F.broadcast(newest), F.lit(True))
+    return rows.where((F.col("due_at") <= F.coalesce("_next", "_now"))).select(key, (F.col("errors") + 1).alias("attempt"), "due_at")
+
+
 def retain_last(rows: DataFrame, by: str, n: int = RETAINED) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("event_id"))
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

@@ -734,6 +734,14 @@ def job_progress(spark, sf_dir):
     return events.progress_events(counted.select("job_id", kinds.alias("doc_types")))
 
 
+@query("""WITH j AS (SELECT user_id, ts, event_type, count(*) FILTER (event_type = 'error') OVER w AS errors, lead(ts) OVER w AS following FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+d AS (SELECT user_id, errors, ts + to_milliseconds(5000 * 2 ** (errors - 1)) AS due_at, coalesce(following, (SELECT max(ts) FROM events)) AS limit_at FROM j WHERE event_type = 'error' AND errors < 3)
+SELECT user_id, (errors + 1)::INTEGER AS attempt, epoch_us(due_at) AS due_us FROM d WHERE due_at <= limit_at""")
+def retry_schedule(spark, sf_dir):
+    """The retries that the errors of each user schedule."""
+    return events.retries_due(job_log(spark, sf_dir), "user_id").select("user_id", "attempt", F.unix_micros("due_at").alias("due_us"))
+
+
 @query("""WITH j AS (SELECT user_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
 SELECT user_id AS job_id, event_id, event_type AS status, (n - 3)::INTEGER AS seq FROM j WHERE n >= 3""")
 def snapshot_then_changes(spark, sf_dir):
