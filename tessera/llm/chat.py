@@ -48,12 +48,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     collect_list combines on the map side, so a conversation that holds a large share of the rows
     crosses the shuffle as a few partial lists.
     """
-    turn = F.struct(
-        F.col("turn"),
-        escape(F.coalesce("role", F.lit(""))).alias("role"),
-        escape(F.coalesce("text", F.lit(""))).alias("text"),
-    )
+    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # Sorted before they are escaped: escapes would change the order of equal turns.
     collected = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    collected = collected.withColumn("t", F.transform("t", lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text"))))
 
     def rendered(x: Column, i: Column) -> Column:
         same = (i > 0) & (F.element_at("t", F.greatest(i, F.lit(1)))["role"] == x["role"])

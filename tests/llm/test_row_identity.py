@@ -58,3 +58,21 @@ def test_decontamination_decides_by_row(spark):
     kept = decontamination.keep_uncontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert kept.columns == docs.columns
     assert counted(kept) == Counter(r for r in rows if item not in (r[1] or ""))
+
+
+def test_chat_ties_are_ordered_by_the_texts_themselves(spark):
+    from tessera.llm import chat
+
+    turns = spark.createDataFrame([(1, 0, "user", t) for t in ("<", "5", "&", "[", "a")], "conv_id long, turn long, role string, text string")
+    read = chat.read_back(chat.format_conversations(turns)).first()
+    assert [t["text"] for t in read["turns"]] == sorted(["<", "5", "&", "[", "a"])
+
+
+def test_quality_and_toxicity_take_string_and_repeated_ids(spark):
+    from tessera.llm import quality, toxicity
+
+    texts = [prose(30, n) for n in range(60)]
+    docs = spark.createDataFrame([(f"d{n % 50}", t) for n, t in enumerate(texts)] + [(None, "x")], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{n}", n % 2, n % 3 == 0) for n in range(50)], "doc_id string, quality int, flag boolean").selectExpr("doc_id", "quality", "cast(flag as int) toxic")
+    assert quality.score_quality(docs, labels).where("score between 0 and 1").count() == 61
+    assert toxicity.score_toxicity(docs, labels).count() == 61
