@@ -102,7 +102,7 @@ def fit(rows: list[tuple[int, bytes, int]]) -> CompressionModel:
     n, ones = len(rows), sum(label for _, _, label in rows)
     if not 0 < ones < n:
         return CompressionModel(b"", b"", [], ones / n if n else 0.5)
-    by_class = {label: sorted((zlib.crc32(b"half %d" % key), text) for key, text, x in rows if x == label) for label in (0, 1)}
+    by_class = {label: sorted((zlib.crc32(f"half {key}".encode()), text) for key, text, x in rows if x == label) for label in (0, 1)}
     for label, own in by_class.items():
         by_class[label] = [text for _, text in own]
     raw, curve_x, curve_y = {}, [], []
@@ -131,7 +131,8 @@ def learn(documents: DataFrame, labels: DataFrame) -> CompressionModel:
     share = min(1.0, FIT_ROWS / max([1, *counts.values()]))
     picked = known.where(F.pmod("at", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("at").limit(2 * FIT_ROWS)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") <= FIT_BYTES)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").collect()
+    # An id can stand for many rows: the sample is bounded once more.
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id", "text"), "label").limit(2 * FIT_ROWS).collect()
     return fit(sorted((r["doc_id"], bytes(r["text"]), r["label"]) for r in rows))
 
 

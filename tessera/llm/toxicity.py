@@ -217,7 +217,9 @@ def learn(documents: DataFrame, labels: DataFrame) -> Chain:
 
     kind = dict(documents.dtypes)["doc_id"]
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "low", "text")
-    table = rows.mapInArrow(counted, f"doc_id {kind}, toxic int, low int, words array<string>, counts array<long>").toArrow()
+    table = rows.mapInArrow(counted, f"doc_id {kind}, toxic int, low int, words array<string>, counts array<long>")
+    # An id can stand for many rows: the sample is bounded once more.
+    table = table.orderBy(F.xxhash64("doc_id", "words", "counts"), "toxic", "low").limit(2 * FIT_ROWS).toArrow()
     order = [(c, "ascending") for c in ("doc_id", "toxic", "low")]
     table = table.append_column("size", pc.list_value_length(table.column("words"))).sort_by([*order, ("size", "ascending")]).combine_chunks()
     words, counts = (table.column(c).combine_chunks() for c in ("words", "counts"))
