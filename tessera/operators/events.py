@@ -49,6 +49,50 @@ def verified(deliveries: DataFrame, secret: str) -> DataFrame:
     return deliveries.where(F.col("signature") == F.concat(F.lit("sha256="), hmac_sha256(secret)("body")))
 
 
+# What becomes of a delivery that is not taken.
+NO_SECRET, BAD_SIGNATURE, NO_ID, BAD_PAYLOAD, ACCEPTED = "webhook_secret_missing", "invalid_webhook_signature", "missing_delivery", "invalid_payload", "accepted"
+
+
+def verdict(deliveries: DataFrame, secret: str | None) -> Column:
+    """ACCEPTED, or why not, of each delivery (signature, delivery_id, body): without a secret none is, then the signature, the id and the body (a JSON object) count in this order."""
+    if not secret:
+        return F.lit(NO_SECRET)
+    signed = F.col("signature") == F.concat(F.lit("sha256="), hmac_sha256(secret)("body"))
+    parsed = F.try_parse_json(F.col("body").cast("string"))
+    whole = F.schema_of_variant(parsed).startswith("OBJECT")
+    return F.when(~F.coalesce(signed, F.lit(False)), BAD_SIGNATURE).when(F.coalesce("delivery_id", F.lit("")) == "", NO_ID).when(~F.coalesce(whole, F.lit(False)), BAD_PAYLOAD).otherwise(ACCEPTED)
+
+
+REQUEST_DEFAULTS = {"branch": "main"}
+
+
+def job_requests(requests: DataFrame) -> DataFrame:
+    """Job rows of requests (body: JSON): job_id, repository_url, branch, doc_types, trigger_event, trigger_action, commit_sha, metadata (JSON) and error.
+
+    A field of another type than its own is as if it were absent: the URL is then missing, which is the error BAD_PAYLOAD, the branch main, lists and metadata empty and the
+    others null. Names are trimmed. Elements of doc_types that are no strings are left out.
+    """
+    rows = requests.withColumn("_v", F.try_parse_json(F.col("body").cast("string")))
+
+    def typed(name: str, kind: str, shape: str) -> Column:
+        held = F.try_variant_get("_v", f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(held).startswith(kind), F.try_variant_get("_v", f"$.{name}", shape))
+
+    def text(name: str) -> Column:
+        return missing_if_empty(F.trim(typed(name, "STRING", "string")))
+
+    whole = lambda name: typed(name, "STRING", "string")
+    listed = F.transform(typed("docTypes", "ARRAY", "array<variant>"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    held = F.try_variant_get("_v", "$.metadata", "variant")
+    metadata = F.when(F.schema_of_variant(held).startswith("OBJECT"), F.to_json(held)).otherwise("{}")
+    return rows.withColumns({
+        "job_id": text("jobId"), "repository_url": text("repositoryUrl"), "branch": F.coalesce(text("branch"), F.lit(REQUEST_DEFAULTS["branch"])),
+        "doc_types": F.coalesce(F.array_compact(listed), F.array().cast("array<string>")),
+        "trigger_event": whole("triggerEvent"), "trigger_action": whole("triggerAction"), "commit_sha": whole("requestedCommitSha"), "metadata": metadata,
+        "error": F.when(text("repositoryUrl").isNull(), BAD_PAYLOAD),
+    }).drop("_v")
+
+
 def route_events(events: DataFrame) -> DataFrame:
     """Jobs of push and pull-request events; other events, and those without a repository, give none.
 
@@ -81,26 +125,29 @@ def dedupe_deliveries(deliveries: DataFrame, ttl: int = DELIVERY_TTL) -> DataFra
     A record lives from when it was stored, and a replay does not renew it. Where there is a column event, pings are
     answered by themselves and overwrite the record. deliveries: delivery_id, event_id, ts.
 
-    Deliveries of an id are read in order, one row at a time: sorted within partitions, with the record as all that is held.
+    Every row is answered once, whatever its event_id; without a delivery_id or a time it is answered by itself. Deliveries of an id are read in
+    order, one row at a time: sorted within partitions, with the record as all that is held.
     """
     ping = F.col("event") == PING if "event" in deliveries.columns else F.lit(False)
-    kinds = dict(deliveries.dtypes)
-    rows = deliveries.select("delivery_id", "event_id", F.unix_micros("ts").alias("at"), F.coalesce(ping, F.lit(False)).alias("ping"))
-    rows = rows.repartition("delivery_id").sortWithinPartitions("delivery_id", "at", "event_id")
+    kind, place = dict(deliveries.dtypes)["event_id"], len(deliveries.columns)
+    rows = deliveries.withColumns({"_at": F.unix_micros("ts"), "_ping": F.coalesce(ping, F.lit(False))})
+    rows = rows.repartition("delivery_id").sortWithinPartitions("delivery_id", "_at", "event_id")
+    schema = deliveries.select("*", F.lit(None).cast(kind).alias("answered_by"), F.lit(None).cast("boolean").alias("duplicate")).schema
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, stored, since = object(), None, 0
+        key, stored, since = None, None, None
         for batch in batches:
-            out = []
-            for delivery, event, at, is_ping in zip(*(batch.column(c).to_pylist() for c in ("delivery_id", "event_id", "at", "ping"))):
-                if delivery != key or is_ping or at is None or at - since >= ttl * 1_000_000:
-                    key, stored, since = delivery, event, at if at is not None else since
-                out.append(stored)
-            yield pa.RecordBatch.from_arrays([batch.column("event_id"), pa.array(out, batch.schema.field("event_id").type)], names=["_event", "answered_by"])
-
-    answers = rows.mapInArrow(answer, f"_event {kinds['event_id']}, answered_by {kinds['event_id']}")
-    joined = deliveries.join(answers, F.col("event_id") == F.col("_event")).drop("_event")
-    return joined.withColumn("duplicate", F.col("answered_by") != F.col("event_id"))
+            answers, copies = [], []
+            for delivery, event, at, is_ping in zip(*(batch.column(c).to_pylist() for c in ("delivery_id", "event_id", "_at", "_ping"))):
+                own = delivery is None or delivery != key or is_ping or at is None or since is None or at - since >= ttl * 1_000_000
+                if own:
+                    key, stored, since = delivery, event, at
+                answers.append(stored)
+                copies.append(not own)
+            columns = [*batch.columns[:place], pa.array(answers, batch.schema.field("event_id").type), pa.array(copies, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:place], "answered_by", "duplicate"])
+
+    return rows.mapInArrow(answer, schema)
 
 
 def latest_status(updates: DataFrame, key: str, fields: list[str]) -> DataFrame:

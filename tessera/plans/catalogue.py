@@ -718,6 +718,39 @@ def dead_letters(spark, sf_dir):
     return valid_json(read_table(spark, sf_dir, "events").select("event_id", line.alias("value")), "k long", "k")[1]
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 IN (1, 2) THEN 'invalid_webhook_signature' WHEN event_id % 5 = 0 THEN 'missing_delivery' WHEN event_id % 7 IN (0, 1) THEN 'invalid_payload' ELSE 'accepted' END AS verdict FROM events""")
+def delivery_verdicts(spark, sf_dir):
+    """Signed bodies, of which some have no signature, one of another body, no id, or no JSON object."""
+    n = F.col("event_id")
+    rows = read_table(spark, sf_dir, "events").select("event_id", F.when(n % 7 == 0, "[1]").when(n % 7 == 1, "{bad").otherwise(F.col("props")).cast("binary").alias("body"))
+    signed = lambda body: F.concat(F.lit("sha256="), hmac_sha256("key")(body))
+    signature = F.when(n % 4 == 1, F.lit(None)).when(n % 4 == 2, signed(F.concat("body", F.lit(b"x")))).otherwise(signed(F.col("body")))
+    rows = rows.withColumns({"signature": signature, "delivery_id": F.when(n % 5 == 0, "").otherwise(n.cast("string"))})
+    return rows.select("event_id", events.verdict(rows, "key").alias("verdict"))
+
+
+REQUEST_BODIES = ("""{"repositoryUrl": " https://h/USER ", "branch": " dev", "docTypes": ["api", 5, "readme"], "jobId": "jUSER", "metadata": {"k": 1}}""", """{"repositoryUrl": 5, "branch": "x"}""",
+ """{"repositoryUrl": "https://h/a", "branch": 7, "docTypes": "api", "triggerEvent": "push", "metadata": []}""", "{bad", "[]")
+
+
+@query("""WITH r AS (SELECT event_id, CASE event_id % 6 """ + " ".join(f"WHEN {n} THEN replace('{body}', 'USER', user_id::VARCHAR)" for n, body in enumerate(REQUEST_BODIES)) + """ ELSE props END AS raw FROM events),
+b AS (SELECT event_id, CASE WHEN json_valid(raw) THEN raw ELSE 'null' END AS b FROM r),
+t AS (SELECT event_id, b, CASE WHEN json_type(b, '$.repositoryUrl') = 'VARCHAR' THEN nullif(trim(b->>'$.repositoryUrl'), '') END AS repository_url FROM b)
+SELECT event_id, CASE WHEN json_type(b, '$.jobId') = 'VARCHAR' THEN nullif(trim(b->>'$.jobId'), '') END AS job_id, repository_url,
+ coalesce(CASE WHEN json_type(b, '$.branch') = 'VARCHAR' THEN nullif(trim(b->>'$.branch'), '') END, 'main') AS branch,
+ CASE WHEN json_type(b, '$.docTypes') = 'ARRAY' THEN array_to_string(list_transform(list_filter(json_extract(b, '$.docTypes[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x->>'$'), ',') ELSE '' END AS doc_types,
+ CASE WHEN json_type(b, '$.triggerEvent') = 'VARCHAR' THEN b->>'$.triggerEvent' END AS trigger_event, CASE WHEN json_type(b, '$.metadata') = 'OBJECT' THEN json_extract(b, '$.metadata')::VARCHAR ELSE '{}' END AS metadata,
+ CASE WHEN repository_url IS NULL THEN 'invalid_payload' END AS error FROM t""")
+def job_requests(spark, sf_dir):
+    """Requests for jobs, of which some lack fields or have them in other types."""
+    n, user = F.col("event_id") % 6, F.col("user_id").cast("string")
+    body = F.col("props")
+    for at, raw in reversed(list(enumerate(REQUEST_BODIES))):
+        body = F.when(n == at, F.replace(F.lit(raw), F.lit("USER"), user)).otherwise(body)
+    rows = events.job_requests(read_table(spark, sf_dir, "events").select("event_id", body.alias("body")))
+    return rows.select("event_id", "job_id", "repository_url", "branch", F.array_join("doc_types", ",").alias("doc_types"), "trigger_event", "metadata", "error")
+
+
 @query("""WITH k AS (SELECT unhex(rpad('6b6579', 128, '00')) AS key), p AS (SELECT event_id, encode(coalesce(props, '')) AS body FROM events),
 pads AS (SELECT unhex('5d534f' || repeat('36', 61)) AS inner_pad, unhex('373925' || repeat('5c', 61)) AS outer_pad)
 SELECT event_id, sha256(outer_pad || unhex(sha256(inner_pad || body))) AS digest FROM p, pads""")
