@@ -224,6 +224,17 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, points: DataFram
     return fuse([sparse, dense], limit).select("query_id", "rank", "id", "score")
 
 
+# Results that a request asks for, if it does not say how many, and bounds of that.
+DEFAULT_LIMIT, LEAST_LIMIT, MOST_LIMIT = 8, 1, 20
+
+
+def search_requests(requests: DataFrame) -> DataFrame:
+    """requests (query_id, text, limit) with limit filled in where it is null, and error: the field that is out of bounds (text: blank), null if none is."""
+    limit = F.coalesce("limit", F.lit(DEFAULT_LIMIT))
+    error = F.when(~limit.between(LEAST_LIMIT, MOST_LIMIT), "limit").when(F.coalesce(F.trim("text"), F.lit("")) == "", "text")
+    return requests.withColumns({"limit": limit, "error": error})
+
+
 #: Columns of a search result.
 RESULT = ("chunk_id", "score", "text", "repository", "file_path", "file_type", "language", "chunk_type", "module_type", "source_ref", "dependencies")
 

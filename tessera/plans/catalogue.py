@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.hashing import hmac_sha256, token_bucket
-from tessera.operators import architecture, chunking, context, events, indexing, metadata, payload_index, postings, search, symbols
+from tessera.operators import architecture, chunking, context, events, indexing, metadata, payload_index, postings, responses, search, symbols
 from tessera.operators.embedding import with_batch
 from tessera.operators.points import payload
 from tessera.sources.tables import broadcast_if_small, listing, read_table, valid_json, work_folder
@@ -751,6 +751,43 @@ def job_requests(spark, sf_dir):
     return rows.select("event_id", "job_id", "repository_url", "branch", F.array_join("doc_types", ",").alias("doc_types"), "trigger_event", "metadata", "error")
 
 
+@query("""WITH b AS (SELECT *, CASE event_id % 5 WHEN 0 THEN '{"k": null, "stage": "a"}' WHEN 1 THEN '{"error": "boom", "k": 1}' WHEN 2 THEN '[]' ELSE props END AS body FROM events),
+f AS (SELECT user_id, ts, event_id, body, unnest(CASE WHEN json_type(body) = 'OBJECT' THEN json_keys(body) ELSE [] END) AS field FROM b),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id, field ORDER BY ts DESC, event_id DESC) AS n FROM f)
+SELECT user_id, field, json_extract(body, '$.' || field)::VARCHAR AS value, (SELECT epoch_us(max(ts)) FROM events e WHERE e.user_id = l.user_id) AS updated_us FROM l WHERE n = 1""")
+def status_merge(spark, sf_dir):
+    """Updates of each user, of which some give null and some are no objects, merged."""
+    n = F.col("event_id") % 5
+    body = F.when(n == 0, '{"k": null, "stage": "a"}').when(n == 1, '{"error": "boom", "k": 1}').when(n == 2, "[]").otherwise(F.col("props"))
+    merged = responses.merged_fields(event_log(spark, sf_dir).withColumn("body", body), "user_id")
+    return merged.select("user_id", "field", "value", F.unix_micros("updated_at").alias("updated_us"))
+
+
+@query("SELECT conv_id, turn, coalesce(text, '') || role || '!' AS answer FROM conversations")
+def response_texts(spark, sf_dir):
+    """Each turn as parts of candidates of a response, beside some of other types."""
+    part = lambda c: F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("text")))
+    turns = read_table(spark, sf_dir, "conversations")
+    other = '{"text": 5}, {"x": 1}, 7'
+    body = F.concat(F.lit('{"candidates": [{"content": {"parts": ['), part(F.col("text")), F.lit(f", {other}, "), part(F.col("role")), F.lit(']}}, 7, {"content": {"parts": "no"}}, {"content": {"parts": [{"text": "!"}]}}]}'))
+    return turns.select("conv_id", "turn", responses.response_text(body).alias("answer"))
+
+
+@query("""SELECT c_custkey, unnest(['a/' || c_nationkey, 'b']) AS path, unnest(['{"path":"a/' || c_nationkey || '","v":9}', '{"path":"b","v":' || c_custkey || '}']) AS record FROM customer""")
+def path_records(spark, sf_dir):
+    """Lists of records of each customer: one path comes twice, and some records have none."""
+    raw = F.concat(F.lit('[{"path":"a/'), "c_nationkey", F.lit('","v":1},{"path":"","v":2},5,{"v":3},{"path":"b","v":'), "c_custkey", F.lit('},{"path":"a/'), "c_nationkey", F.lit('","v":9},{"path":4}]'))
+    return read_table(spark, sf_dir, "customer").select("c_custkey", F.explode(responses.records_by_path(raw)).alias("path", "record"))
+
+
+@query("""SELECT item_id AS query_id, coalesce(CASE WHEN item_id % 3 = 0 THEN NULL ELSE item_id % 30 END, 8)::INTEGER AS "limit",
+ CASE WHEN item_id % 3 <> 0 AND item_id % 30 NOT BETWEEN 1 AND 20 THEN 'limit' WHEN item_id % 7 = 0 THEN 'text' END AS error FROM benchmark""")
+def search_request_bounds(spark, sf_dir):
+    n = F.col("item_id")
+    rows = read_table(spark, sf_dir, "benchmark").select(n.alias("query_id"), F.when(n % 7 == 0, "  ").otherwise(F.col("text")).alias("text"), F.when(n % 3 != 0, n % 30).cast("int").alias("limit"))
+    return search.search_requests(rows).drop("text")
+
+
 @query("""WITH k AS (SELECT unhex(rpad('6b6579', 128, '00')) AS key), p AS (SELECT event_id, encode(coalesce(props, '')) AS body FROM events),
 pads AS (SELECT unhex('5d534f' || repeat('36', 61)) AS inner_pad, unhex('373925' || repeat('5c', 61)) AS outer_pad)
 SELECT event_id, sha256(outer_pad || unhex(sha256(inner_pad || body))) AS digest FROM p, pads""")

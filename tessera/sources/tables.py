@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,11 @@ def listing(files: DataFrame) -> DataFrame:
 
 
 def decode_text(content):
-    """Bytes as UTF-8 with malformed bytes dropped."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """Bytes as UTF-8 with malformed bytes dropped. Replacement characters that the bytes hold stay: they are put aside while malformed bytes become some."""
+    mark, replaced = "\ufdd0", "\ufffd"
+    aside = F.replace(F.replace(content.cast("string"), F.lit(mark), F.lit(mark + "a")), F.lit(replaced), F.lit(mark + "b"))
+    valid = F.replace(F.make_valid_utf8(aside), F.lit(replaced), F.lit(""))
+    return F.replace(F.replace(valid, F.lit(mark + "b"), F.lit(replaced)), F.lit(mark + "a"), F.lit(mark))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, required: str) -> DataFrame:
@@ -78,13 +83,38 @@ def valid_json(lines: DataFrame, schema: str, required: str, column: str = "valu
 
 
 def load_partition(spark: SparkSession, path: str, schema: str, **keys: str) -> DataFrame:
-    """The rows of a table written by write_partitioned that belong to keys; none where the table is missing or its files cannot be read."""
+    """The rows of a table written by write_partitioned that belong to keys; none where the table is missing or one of their files cannot be read, as a part of a state is no state.
+
+    The files' footers are read for that.
+    """
+    none = spark.createDataFrame([], schema)
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(path)
+        return none
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", False).option("ignoreMissingFiles", False).parquet(path)
     for column, value in keys.items():
         rows = rows.where(F.col(column) == value)
+    try:
+        rows.count()
+    except (PySparkException, Py4JJavaError):
+        return none
+    return rows
+
+
+def collection_exists(spark: SparkSession, folder: str, collection: str) -> bool:
+    """Whether a collection (a folder of points) has been created."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{collection}")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def ensure_collection(spark: SparkSession, folder: str, collection: str, schema: str, vector_size: int, vector: str = "dense") -> DataFrame:
+    """The points of a collection, which is created empty if it does not exist. Points with vectors of another size than vector_size are an error."""
+    if not collection_exists(spark, folder, collection):
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{collection}")
+    rows = spark.read.schema(schema).parquet(f"{folder}/{collection}")
+    held = rows.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).first()
+    if held and held["n"] != vector_size:
+        raise ValueError(f"the collection expects vectors of {held['n']} numbers, not of {vector_size}")
     return rows
 
 

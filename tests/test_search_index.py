@@ -98,8 +98,32 @@ def test_state_files_and_dead_letters(spark, tmp_path):
     tables.write_partitioned(spark.createDataFrame([("x", "1", "a", "main"), ("y", "2", "b", "main")], schema), where, "repository", "branch")
     assert [r["path"] for r in tables.load_partition(spark, where, schema, repository="a", branch="main").collect()] == ["x"]
     (tmp_path / "state" / "repository=a" / "branch=main" / "part-bad.parquet").write_bytes(b"not parquet")
-    assert [r["path"] for r in tables.load_partition(spark, where, schema, repository="a").collect()] == ["x"]
+    assert tables.load_partition(spark, where, schema, repository="a").collect() == []  # the other part is not taken for the state
+    assert [r["path"] for r in tables.load_partition(spark, where, schema, repository="b").collect()] == ["y"]
     good, bad = tables.valid_json(spark.createDataFrame([(1, '{"a": 1}'), (2, "{bad"), (3, '{"b": 1}'), (4, None)], "n int, value string"), "a int", "a")
     assert [tuple(r) for r in good.collect()] == [(1, '{"a": 1}', 1)] and sorted(r["n"] for r in bad.collect()) == [2, 3, 4]
     found = tables.listing(spark.createDataFrame([("a/b/c.py",), ("a/d.py",), ("e",)], "path string")).collect()
     assert sorted(map(tuple, found)) == [("a", "directory"), ("a/b", "directory"), ("a/b/c.py", "file"), ("a/d.py", "file"), ("e", "file")]
+
+
+def test_collections_exist_or_are_created(spark, tmp_path):
+    schema = "id string, dense array<double>"
+    assert not tables.collection_exists(spark, str(tmp_path), "c_a")
+    assert tables.ensure_collection(spark, str(tmp_path), "c_a", schema, 2).count() == 0 and tables.collection_exists(spark, str(tmp_path), "c_a")
+    spark.createDataFrame([("x", [1.0, 2.0])], schema).write.mode("append").parquet(str(tmp_path / "c_a"))
+    assert tables.ensure_collection(spark, str(tmp_path), "c_a", schema, 2).count() == 1
+    with pytest.raises(ValueError, match="expects vectors of 2"):
+        tables.ensure_collection(spark, str(tmp_path), "c_a", schema, 3)
+
+
+def test_replacement_characters_of_a_file_stay(spark):
+    raw = {1: "a\ufffdb".encode(), 2: b"a\xffb\xc3", 3: "\ufdd0a\ufdd0b\ufffd".encode() + b"\xe2\x82", 4: b"", 5: None}
+    rows = spark.createDataFrame([(n, None if x is None else bytearray(x)) for n, x in raw.items()], "n int, c binary")
+    found = {r["n"]: r["t"] for r in rows.select("n", tables.decode_text(F.col("c")).alias("t")).collect()}
+    assert found == {n: None if x is None else x.decode("utf-8", "ignore") for n, x in raw.items()}
+
+
+def test_limits_of_requests(spark):
+    asked = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 20), (4, "d", 0), (5, "e", 21), (6, " ", 3), (7, None, 3)], "query_id long, text string, limit int")
+    found = {r["query_id"]: (r["limit"], r["error"]) for r in search.search_requests(asked).collect()}
+    assert found == {1: (8, None), 2: (1, None), 3: (20, None), 4: (0, "limit"), 5: (21, "limit"), 6: (3, "text"), 7: (3, "text")}
