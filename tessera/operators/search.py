@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import token_bucket
 from tessera.functions.text import missing_if_empty
-from tessera.sources.tables import broadcast_if_small
+from tessera.sources.tables import broadcast_if_small, work_folder
 
 # The token pattern, the number of buckets, over-fetching, and the fusion constant
 # of Cormack, Clarke and Buettcher (2009).
@@ -96,7 +96,11 @@ def with_norm(vectors: DataFrame, key: str) -> DataFrame:
 def _best_of(points: DataFrame, blocks: Callable, scores: Callable, n: int) -> DataFrame:
     """The n best points (id) of each query. blocks: yields (ids of queries, what scores takes); scores: of a batch, queries by rows, NaN where there is none."""
     session, out = points.sparkSession, None
-    for ids, block in blocks():
+    for pass_number, (ids, block) in enumerate(blocks()):
+        if pass_number == 1:  # more than one: what was encoded for the first is written and read from here on
+            folder = work_folder(session)
+            points.write.parquet(folder)
+            points = session.read.schema(points.schema).parquet(folder)
         shared = session.sparkContext.broadcast((ids, block))
 
         def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -126,6 +130,11 @@ def _blocks(queries: DataFrame, columns: list[str], make: Callable) -> Callable:
 
     def blocks() -> Iterator[tuple[np.ndarray, object]]:
         rows = queries.where(F.col("query_id").isNotNull()).select("query_id", *columns)
+        some = rows.limit(BLOCK_QUERIES + 1).toArrow().combine_chunks()
+        if len(some) <= BLOCK_QUERIES:
+            if len(some):
+                yield some.column("query_id").to_numpy(), make(some)
+            return
         passes = -(-rows.count() // BLOCK_QUERIES)
         for n in range(passes):
             own = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).toArrow().combine_chunks()
