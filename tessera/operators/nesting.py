@@ -166,33 +166,38 @@ def scanned(files: DataFrame, name: str, indented: Column) -> DataFrame:
     return rows.mapInArrow(scan_all, schema)
 
 
+def nested_tokens(text: str, indented: bool) -> Iterator[tuple]:
+    """at (from 0), kind, token, line (from 1), depth and parent (at of the bracket around it, None outside of all) of each token."""
+    at, line, stack = 0, 1, []
+    for kind, begin, end in tokens(text, indented):
+        own = text[begin:end]
+        if kind == "close" and stack:
+            stack.pop()
+        if kind != "break":
+            yield at, kind, own, line, len(stack), stack[-1] if stack else None
+            if kind == "open":
+                stack.append(at)
+            at += 1
+        line += len(_BREAK_AT.findall(own))
+
+
 def token_table(files: DataFrame, indented: Column) -> DataFrame:
-    """path, at (from 0), kind, token, line (from 1), depth and parent (at of the bracket around it, null outside of all) of each token of files (path, text)."""
+    """path and what nested_tokens gives, for each token of files (path, text)."""
     rows = files.select("path", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(indented, F.lit(False)).alias("indented"))
     names = ("path", "at", "kind", "token", "line", "depth", "parent")
 
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=list(names))
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for path, text, by_indent in zip(*(batch.column(c).to_pylist() for c in ("path", "text", "indented"))):
-                at, line, stack = 0, 1, []
-                for kind, begin, end in tokens(text, by_indent):
-                    own = text[begin:end]
-                    if kind == "close" and stack:
-                        stack.pop()
-                    if kind != "break":
-                        out.append((path, at, kind, own, line, len(stack), stack[-1] if stack else None))
-                        if kind == "open":
-                            stack.append(at)
-                        at += 1
-                    line += len(_BREAK_AT.findall(own))
+                out += [(path, *token) for token in nested_tokens(text, by_indent)]
                 if len(out) > 1 << 16:
                     yield made(out)
                     out = []
             yield made(out)
 
-    def made(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=list(names))
-
     return rows.mapInArrow(listed, "path string, at int, kind string, token string, line int, depth int, parent int")

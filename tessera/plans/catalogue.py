@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import tables as table_functions
 from tessera.functions import text as T
 from tessera.functions.hashing import hmac_sha256, token_bucket
 from tessera.operators import architecture, chunking, context, events, indexing, metadata, payload_index, postings, responses, search, symbols
@@ -372,6 +373,15 @@ def chunk_families_union(spark, sf_dir):
     return rows.select("path", "family", "at", "symbol", F.length("body").alias("chars"))
 
 
+@query(FILES + r""", l AS (SELECT path, doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\v\f]') AS lines FROM files WHERE doc_id % 3 <> 0), m AS (SELECT path, CASE WHEN lines[-1] = '' AND len(lines) > 1 THEN lines[:-2] ELSE lines END AS lines FROM l),
+h AS (SELECT path, lines, ceil(len(lines) / 2)::INTEGER AS half FROM m), s AS (SELECT path, [array_to_string(lines[1:half], chr(10)), array_to_string(lines[half + 1:], chr(10)), array_to_string(lines, chr(10))] AS bodies FROM h)
+SELECT path, symbol, length(regexp_replace(body, '^\s+|\s+$', '', 'g')) AS chars FROM (SELECT path, unnest(['f', 'g', 'C']) AS symbol, unnest(bodies) AS body FROM s)""")
+def whole_bodies(spark, sf_dir):
+    """The bodies of the classes and functions of every line of every document."""
+    rows = chunking.bodies(whole_files(spark, sf_dir)).where("family IN (1, 2)")
+    return rows.select("path", "symbol", F.length("body").alias("chars"))
+
+
 @query()
 def chunk_parts(spark, sf_dir):
     return chunking.chunks(whole_files(spark, sf_dir)).select("chunk_id", "path", "chunk_type", "source_ref", "part_index", "part_count", "text_length", "text")
@@ -646,6 +656,17 @@ def symbol_extraction(spark, sf_dir):
     return rows.select("path", "language", *joined, F.array_join(apis, ",").alias("apis"), F.get("classes.end_line", F.lit(0)).alias("class_end"), F.array_join("outline", "\n").alias("outline"))
 
 
+@query("""WITH t AS (SELECT c_custkey, ['f', '(', c_custkey::VARCHAR, ',', '[', c_nationkey::VARCHAR, ']', ')', '// (', '}'] AS token, ['word', 'open', 'word', 'mark', 'open', 'word', 'close', 'close', 'comment', 'close'] AS kind,
+ [1, 1, 1, 1, 2, 2, 2, 2, 2, 3] AS line, [0, 0, 1, 1, 1, 2, 1, 0, 0, 0] AS depth, [NULL, NULL, 1, 1, 1, 4, 1, NULL, NULL, NULL] AS parent FROM customer)
+SELECT c_custkey, unnest(range(10))::INTEGER AS at, unnest(kind) AS kind, unnest(token) AS token, unnest(line) AS line, unnest(depth) AS depth, unnest(parent) AS parent FROM t""")
+def source_tokens(spark, sf_dir):
+    """The tokens of a line of code of each customer, by a table function in SQL."""
+    table_functions.register(spark)
+    code = F.concat(F.lit("f("), "c_custkey", F.lit(",\n["), "c_nationkey", F.lit("]) // (\n}"))
+    rows = read_table(spark, sf_dir, "customer").select("c_custkey", code.alias("code"))
+    return spark.sql("SELECT c_custkey, t.* FROM {rows}, LATERAL source_tokens(code, false) t", rows=rows)
+
+
 @query(r"""SELECT doc_id, 'A: get; B: get, put' AS methods, 'get,put' AS functions, 'm: x, y' AS imports, 5 + len(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\v\f]'))::INTEGER AS second_class FROM documents""")
 def class_methods(spark, sf_dir):
     """Each whole text as a comment in front of two classes that have a method of one name, and of an import over several lines."""
