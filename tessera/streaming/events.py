@@ -30,10 +30,11 @@ def first_deliveries(deliveries: DataFrame, ttl: int = DELIVERY_TTL) -> DataFram
     return deliveries.withWatermark("ts", f"{ttl} seconds").dropDuplicatesWithinWatermark(["delivery_id"])
 
 
-def answered_deliveries(deliveries: DataFrame, ttl: int = DELIVERY_TTL) -> DataFrame:
+def answered_deliveries(deliveries: DataFrame, ttl: int = DELIVERY_TTL, lateness: int | None = None) -> DataFrame:
     """Each delivery with the event that answers it, as operators.events.dedupe_deliveries gives it: a replay gets what is stored, a ping overwrites it.
 
-    deliveries: delivery_id string, event_id long, ts timestamp, event string. A record goes ttl seconds after it was stored.
+    deliveries: delivery_id string, event_id long, ts timestamp, event string. A record lives for ttl seconds of event time after it was stored, however fast the
+    stream is read; it goes when the watermark, lateness seconds (ttl, if not given) behind the newest delivery, has passed that. Rows without a time take no part.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,11 +50,12 @@ def answered_deliveries(deliveries: DataFrame, ttl: int = DELIVERY_TTL) -> DataF
                 stored, since = int(event_id), at
             answers.append(stored)
         state.update((stored, since))
-        state.setTimeoutDuration(ttl * 1000)
+        state.setTimeoutTimestamp(max(since // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"delivery_id": key[0], "event_id": rows["event_id"], "answered_by": answers, "duplicate": [a != e for a, e in zip(answers, rows["event_id"])]})
 
     out = "delivery_id string, event_id long, answered_by long, duplicate boolean"
-    return deliveries.groupBy("delivery_id").applyInPandasWithState(step, out, "stored long, since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = deliveries.where("ts is not null").withWatermark("ts", f"{ttl if lateness is None else lateness} seconds")
+    return timed.groupBy("delivery_id").applyInPandasWithState(step, out, "stored long, since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 STATUS_SCHEMA = "job_id long, status string, progress double, error string, errors long, updates long"

@@ -34,6 +34,20 @@ def test_replays_in_a_stream_get_what_is_stored(spark, tmp_path):
     assert {r["event_id"]: r["answered_by"] for r in spark.table("answers").collect()} == ANSWERS
 
 
+def test_records_live_by_event_time_across_batches(spark, tmp_path):
+    rows = [("a", 0, "push"), ("b", 1, "push"), ("a", 1.5, "push"), ("b", 9, "push"), ("a", 9.5, "push"), ("b", 9.75, "push")]
+    answers = {}
+    for n, row in enumerate(rows):
+        made = spark.createDataFrame([(row[0], n, at(row[1]), row[2])], "delivery_id string, event_id long, ts string, event string").withColumn("ts", F.to_timestamp("ts"))
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.answered_deliveries(streams.read_stream(spark, str(tmp_path / "in"), "delivery_id string, event_id long, ts timestamp, event string", 1), 2 * 86_400, lateness=60)
+        seen = []
+        query = stream.writeStream.foreachBatch(lambda df, _, seen=seen: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c"))
+        query.trigger(availableNow=True).start().awaitTermination(120)
+        answers |= {r["event_id"]: r["answered_by"] for r in seen}
+    assert answers == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 3}
+
+
 def test_late_updates_change_nothing(spark, tmp_path):
     schema = "job_id long, event_id long, ts timestamp, status string, progress double, error string"
     for n, (event, hour, status) in enumerate([(2, 2, "processing"), (1, 1, "queued"), (3, 3, "completed")]):
