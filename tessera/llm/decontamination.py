@@ -78,8 +78,24 @@ def whole_seed() -> Column:
     return F.xxhash64(-F.col("n"), *(F.get("codes", F.lit(i)) for i in range(LOOKED_AT)))
 
 
+def _row_key() -> Column:
+    """What tells rows apart whose doc_id is null or stands for several texts."""
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, agreeing and compared words of the best area, and areas, the verified ones, for every pair that has one."""
+    """doc_id, item_id, agreeing and compared words of the best area, and areas, the verified ones, for every pair that has one.
+
+    Hits are gathered by doc_id and text, so each text is held against its own alone; the pairs of one doc_id are put together at the end.
+    """
+    pairs = _overlaps(documents.select(_row_key().alias("doc_id"), "text"), benchmark)
+    best = F.max(F.struct(F.col("agreeing") / F.col("compared"), "agreeing", "compared"))
+    found = pairs.groupBy("doc_id.id", "item_id").agg(best.alias("best"), F.sum("areas").alias("areas"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "best.agreeing", "best.compared", "areas")
+
+
+def _overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """overlaps of documents whose doc_id tells texts apart."""
     seeds = materialize(benchmark_seeds(benchmark), "seeds")
     few = seeds.count() <= BROADCAST_SEEDS
     coded = documents.select("doc_id", word_codes(F.col("text")).alias("codes"))
@@ -111,7 +127,7 @@ def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame
     Rows are told apart by doc_id and text, so a contaminated text takes no other text of its id, null included, with it.
     """
     key = unused("key", documents.columns)
-    own = F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
-    found = overlaps(documents.select(own.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
+    own = _row_key()
+    found = _overlaps(documents.select(own.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
     found = bounded_broadcast(materialize(found, "contaminated"))
     return documents.withColumn(key, own).join(found, key, "left_anti").select(*documents.columns)

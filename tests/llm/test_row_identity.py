@@ -76,3 +76,11 @@ def test_quality_and_toxicity_take_string_and_repeated_ids(spark):
     labels = spark.createDataFrame([(f"d{n}", n % 2, n % 3 == 0) for n in range(50)], "doc_id string, quality int, flag boolean").selectExpr("doc_id", "quality", "cast(flag as int) toxic")
     assert quality.score_quality(docs, labels).where("score between 0 and 1").count() == 61
     assert toxicity.score_toxicity(docs, labels).count() == 61
+
+
+def test_overlaps_of_null_and_repeated_ids(spark):
+    items = [prose(40, 91), prose(40, 92)]
+    rows = [(None, prose(50, n) + " " + items[n % 2]) for n in range(6)] + [(3, items[0]), (3, items[1] + " " + items[1]), (3, None), (4, prose(50, 99))]
+    found = decontamination.overlaps(frame(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(None, 0), (None, 1), (3, 0), (3, 1)} and len(found) == 4
+    assert all(r["agreeing"] == r["compared"] for r in found)
