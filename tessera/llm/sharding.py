@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_broadcast, materialize
+from tessera.llm.shared import keyed_join, materialize
 
 BITS = 4
 DIMENSIONS = ("lang_key", "source_key", "size")
@@ -28,7 +28,7 @@ def with_order_key(rows: DataFrame, column: str, key: str) -> DataFrame:
     """rows with key, a number that keeps the order of the whole strings in column, instead of column."""
     values = rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
     values = materialize(values.withColumn(key, F.monotonically_increasing_id()), "order-keys")
-    return rows.join(bounded_broadcast(values), column).drop(column)
+    return keyed_join(rows, values, column, "text_crc32").drop(column)
 
 
 def cut_points(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> dict[str, list[int]]:
