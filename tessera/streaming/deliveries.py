@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.events import ACCEPTED, DELIVERY_TTL, PING, dedupe_deliveries, route_events, verdict
-from tessera.sources.tables import load_partition
+from tessera.sources.tables import collection_exists
 from tessera.streaming.events import headers_lowered
 
 # Headers of a delivery, lower-cased.
@@ -21,6 +21,11 @@ SIGNATURE, EVENT, ID = "x-hub-signature-256", "x-github-event", "x-github-delive
 DELIVERY = "delivery_file string, delivery_id string, event string, status string, ts timestamp, payload string, answered_by string, duplicate boolean, batch long"
 
 
+def _stored(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """What batches have written, nothing before the first. A file that cannot be read is an error here: what it holds would run again."""
+    return spark.read.schema(schema).parquet(f"{folder}/{name}") if collection_exists(spark, folder, name) else spark.createDataFrame([], schema)
+
+
 def taken(requests: DataFrame, secret: str | None) -> DataFrame:
     """delivery_file, delivery_id, event, payload, ts and verdict of requests (delivery_file, headers, body, ts)."""
     rows = headers_lowered(requests).select(
@@ -34,7 +39,7 @@ def process_batch(batch: DataFrame, number: int, folder: str, secret: str | None
     """Take one batch of requests: write its deliveries, and what work (from jobs to results with a job_id) makes of the jobs of new ones."""
     spark = batch.sparkSession
     rows = taken(batch, secret)
-    known = load_partition(spark, f"{folder}/deliveries", DELIVERY).where((F.col("batch") < number) & ~F.col("duplicate") & (F.col("delivery_id") != "") & F.col("status").isin("queued", "ignored", "acknowledged"))
+    known = _stored(spark, folder, "deliveries", DELIVERY).where((F.col("batch") < number) & ~F.col("duplicate") & (F.col("delivery_id") != "") & F.col("status").isin("queued", "ignored", "acknowledged"))
     # Records of earlier batches come first, as deliveries that were answered by themselves; rows of this batch are told from them by their batch.
     stored = known.join(rows.select("delivery_id").distinct(), "delivery_id", "left_semi").select("delivery_file", "delivery_id", "event", "payload", "ts", F.lit(ACCEPTED).alias("verdict"), "batch")
     now = rows.where(F.col("verdict") == ACCEPTED).withColumn("batch", F.lit(number).cast("long"))
@@ -68,4 +73,4 @@ def run_deliveries(requests: DataFrame, folder: str, checkpoint: str, secret: st
 
 
 def results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return load_partition(spark, f"{folder}/results", schema)
+    return _stored(spark, folder, "results", schema)
