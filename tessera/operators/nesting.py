@@ -19,6 +19,11 @@ _QUOTED = r""""(?:\\.|[^"\\\n\r\v\f])*"|'(?:\\.|[^'\\\n\r\v\f])*'"""
 # Every alternative either ends at the first place that can end it or runs to the end of the text, and a quote that is not closed on its line is a mark.
 _BRACED = re.compile(rf"""(?s)(?P<comment>(?<![:\w"'`/])//{_LINE}*|/\*.*?(?:\*/|\Z))|(?P<string>\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|{_QUOTED}|`(?:\\.|[^`\\])*(?:`|\Z)){_REST}""")
 _INDENTED = re.compile(rf"""(?s)(?P<comment>\#{_LINE}*)|(?P<string>\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z)|{_QUOTED}){_REST}""")
+# The same with words and marks between as one run, which is all that a scan needs; what is in a run is counted at once.
+_RUN = r"""|(?P<run>[^"'`/#{}()\[\];\n\r\v\f]+)|(?P<mark>[^\s])|\s"""
+_RUNS = {indented: re.compile(p.pattern.replace("|(?P<word>[\\w$]+)|(?P<mark>[^\\s\\w$])", _RUN)) for indented, p in ((False, _BRACED), (True, _INDENTED))}
+_ATOM = re.compile(r"[\w$]+|[^\s\w$]")
+_LIST = re.compile(r"export[^\S\n\r\v\f]*(?:[{*]|type\b)")
 _BREAK_AT = re.compile(_BREAK)
 _BLANK = re.compile(_LINE)
 
@@ -91,22 +96,28 @@ def scan(text: str, indented: bool) -> tuple[list[str], list[tuple[str, int, int
             names = None
         line, begin_of_line, first, fresh = line + 1, end, None, not stack and kind == "break"
 
-    piece, depth = 0, None
-    for kind, begin, end in tokens(text, indented):
+    piece, depth, runs = 0, None, []
+    for m in _RUNS[indented].finditer(text):
+        kind, begin, end = m.lastgroup, m.start(), m.end()
         if kind == "break":
             broken(begin, end)
             depth = None
             continue
         own = text[begin:end]
-        nodes += kind != "close"
-        if kind != "comment":
-            if first is None:
-                first = own
-                depth = begin - begin_of_line if fresh else None
-                if fresh and own in ("import", "from", "export") or not indented and own in ("import", "export"):
-                    names = (line, len(stack), own)
-            elif names is not None and names[2] == "export":
-                names = (*names[:2], "") if own in ("{", "*", "type") else None
+        if kind == "run":
+            runs.append(own)
+        elif kind is None:  # other white space
+            continue
+        else:
+            nodes += kind != "close"
+        if kind != "comment" and first is None and (kind != "run" or own.strip()):
+            word = _ATOM.search(text, begin)
+            first = word[0]
+            depth = word.start() - begin_of_line if fresh else None
+            if fresh and first in ("import", "from") or not indented and first == "import" or first == "export" and _LIST.match(text, word.start()):
+                names = (line, len(stack))
+        if kind == "run":
+            continue
         if kind in ("comment", "string"):
             inner = list(_BREAK_AT.finditer(own))
             kept = 0 if kind == "comment" else inner[0].start() if inner else len(own)
@@ -131,6 +142,7 @@ def scan(text: str, indented: bool) -> tuple[list[str], list[tuple[str, int, int
             cut(end, end)
     kind = "break"
     broken(len(text), len(text))
+    nodes += len(_ATOM.findall("\n".join(runs)))
     bare.append(text[at:])
     plain = "".join(bare)
     lines = [plain[a:b] for a, b in zip([0, *(end for _, end in breaks)], [begin for begin, _ in breaks])]
