@@ -48,6 +48,11 @@ def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers SLICE_ROWS rows at a time, so that neither they nor the executor hold more long texts beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SLICE_ROWS)
+
+
 #: Rows up to which a table of a few numbers is broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 

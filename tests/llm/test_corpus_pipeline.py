@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontamination, jaccard_join, pieces, quality, secrets
+from tessera.llm import decontamination, jaccard_join, pieces, quality, secrets, shared
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -77,3 +78,13 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_hand_workers_small_batches(spark, folder, name):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(setting)
+    dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "id", pa.array([len(b)])) for b in batches), "id long")
+    assert max(r["id"] for r in sizes.collect()) <= shared.SLICE_ROWS
+    spark.conf.unset(setting)
