@@ -1,21 +1,22 @@
 """Main-text extraction with wrappers inferred from pages of one host.
 
-A page is a stream of tokens: structural tags and text. For each host a few pages are aligned one after the other. The
-first page is the first wrapper, a union-free regular expression over tags; neighbouring elements of one
-signature are folded into a repeated group. Each further page is matched against the wrapper: equal tags are aligned,
+A page is a stream of tokens: structural tags and text. All different pages of a host are aligned. Each
+page is a wrapper at first, a union-free regular expression over tags; neighbouring elements of one
+signature are folded into a repeated group. Wrappers are matched against each other: equal tags are aligned,
 unaligned ones become optional groups, further neighbours repeated groups, and differing strings text
-slots. The wrapper then decides for every element, named by its path of signatures:
+slots. This goes in rounds: groups of about GROUP wrappers of a host, dealt by the pages' digests, give one wrapper each, until
+each host has one. That wrapper then decides for every element, named by its path of signatures:
 
 * the content element is the one marked as such (article, main), or else the one whose own blocks hold most text in slots:
   strings of the template and of links do not count; it is widened while its parent has twice as much;
-* strings of the template within it are left out. The aligned pages propose those, optional groups already
+* strings of the template within it are left out. The wrapper proposes those, optional groups already
   where two pages have them; all pages of the host then have to agree, and enough of them (more within a marked element) with
   different long blocks, so that copies of one page say nothing;
 * without a marked one, repeated groups that are links are menus;
-* elements whose names only hint at boilerplate (related-work, search-results) go if their text on the aligned pages is
+* elements whose names only hint at boilerplate (related-work, search-results) go if their text on the host's pages is
   mostly links or the template's, and stay otherwise. Those that name it (nav, form, class ad) go, inline ones too.
 
-Pages are read with their host's wrapper; elements that no aligned page had follow the same rules by themselves.
+Pages are read with their host's wrapper; elements that the wrapper does not name follow the same rules by themselves.
 
 Blocks are the texts of block-level elements, in page order; inline tags and line breaks belong to the text around
 them. Character references are decoded once; white space within a block becomes one space.
@@ -41,10 +42,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_broadcast, materialize, slices
+from tessera.llm.shared import bounded_broadcast, keyed_join, materialize, slices
 
-#: Pages aligned for a host; pages from which on a string that never changes is boilerplate, and within a marked element; bytes of an aligned page.
-PAGES, CONSTANT_PAGES, MARKED_PAGES, ALIGN_BYTES = 8, 4, 8, 1 << 18
+#: Wrappers aligned in one group; pages from which on a string that never changes is boilerplate, and within a marked element; bytes of wrappers handed on at once.
+GROUP, CONSTANT_PAGES, MARKED_PAGES, ALIGN_BYTES = 64, 4, 8, 1 << 18
+#: Characters up to which a wrapper holds a string itself; of a longer one it holds a digest.
+SLOT_CHARS = 64
 #: Characters of a block that tells one page's main text from another's; nesting; pairs of children that are aligned one by one.
 LONG_BLOCK, DEPTH, ALIGNED_PAIRS = 80, 150, 250_000
 #: Shares of link text from which on a hint at boilerplate is right, and a repeated group is a menu.
@@ -281,9 +284,14 @@ def tidy(text: str) -> str:
     return " ".join(references.unescape(text).split())
 
 
+def slot_of(text: str) -> str:
+    """What a wrapper holds of a string: itself, or a digest of a long one."""
+    return text if len(text) <= SLOT_CHARS and not text.startswith("\0") else "\0" + hashlib.blake2b(text.encode(errors="replace"), digest_size=16).hexdigest()
+
+
 @dataclass
 class Node:
-    """An element of the wrapper. slot: its string on the aligned pages (strings, if repeated, by line), None once it differed; chars, linked: characters in all and in links."""
+    """An element of the wrapper. slot: its string (see slot_of) on the aligned pages (strings, if repeated, by line), None once it differed; chars, linked: characters in all and in links."""
 
     signature: str
     seen: int = 1
@@ -298,11 +306,18 @@ class Node:
         below = [c.sizes() for c in self.children]
         return self.chars + sum(n for n, _ in below), self.linked + sum(n for _, n in below)
 
+    def listed(self) -> list:
+        return [self.signature, self.seen, self.optional, self.repeated, self.slot, self.chars, self.linked, [c.listed() for c in self.children]]
+
+    @classmethod
+    def made_of(cls, values: list) -> Node:
+        return cls(*values[:-1], [cls.made_of(c) for c in values[-1]])
+
 
 def wrapper_of(element: Element) -> Node:
     """A page as a wrapper: neighbours of one signature fold into a repeated group."""
     own = element.own
-    node = Node(element.signature, slot=own, chars=len(own), linked=sum(len(tidy(c)) for c in element.children if isinstance(c, Linked)))
+    node = Node(element.signature, slot=slot_of(own), chars=len(own), linked=sum(len(tidy(c)) for c in element.children if isinstance(c, Linked)))
     for child in element.blocks:
         add(node.children, wrapper_of(child))
     return node
@@ -333,6 +348,10 @@ def merge(a: Node, b: Node, within: bool = False) -> Node:
         out.slot = a.slot if a.slot == b.slot else None
     out.chars, out.linked = a.chars + b.chars, a.linked + b.linked
     x, y = a.children, b.children
+    if [c.signature for c in x] == [c.signature for c in y]:
+        for i, j in zip(x, y):
+            add(out.children, merge(i, j, within))
+        return out
     if len(x) * len(y) > ALIGNED_PAIRS:
         x, y = folded(x), folded(y)
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -492,7 +511,7 @@ def extract(page: str | None, rules: Rules) -> str:
     def emit(text: list[str], path: str) -> None:
         whole = tidy("".join(text))
         text.clear()
-        if whole and whole not in constant.get(path, ()):
+        if whole and not (path in constant and slot_of(whole) in constant[path]):
             out.append(whole)
 
     def goes(e: Element, path: str) -> bool:
@@ -534,8 +553,8 @@ def agreement(page: str, rules: Rules) -> tuple[str | None, dict[str, bool]]:
         nonlocal longest
         own = e.own
         if path in rules.constant:
-            strings.setdefault(path, []).extend([own] if own else [])
-        if len(own) > len(longest) and own not in rules.constant.get(path, "").split("\n"):
+            strings.setdefault(path, []).extend([slot_of(own)] if own else [])
+        if len(own) > len(longest) and slot_of(own) not in rules.constant.get(path, "").split("\n"):
             longest = own
         for c in e.blocks:
             walk(c, f"{path}/{c.signature}")
@@ -576,32 +595,63 @@ def confirmed(pages: DataFrame, proposed: DataFrame) -> DataFrame:
     return agreed.groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("path", "string")))).alias("agreed"))
 
 
+def page_wrappers(pages: DataFrame) -> DataFrame:
+    """host, at (a digest of the page) and wrapper of all pages that are not empty, equal pages of a host once."""
+    rows = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("at"), "html")
+    names = ["host", "at", "wrapper"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            begin, held, size = 0, [], 0
+            for i, page in enumerate(batch.column("html").to_pylist(), 1):
+                held.append(json.dumps(wrapper_of(parse(page)).listed(), separators=(",", ":")))
+                size += len(held[-1])
+                if size >= ALIGN_BYTES or i == len(batch):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(begin, i - begin) for c in names[:2]), pa.array(held, pa.string())], names=names)
+                    begin, held, size = i, [], 0
+
+    return rows.mapInArrow(read, "host string, at long, wrapper string").distinct()
+
+
+def align(group: pd.DataFrame) -> pd.DataFrame:
+    """One wrapper for those of a group, in the order of their digests."""
+    group = group.sort_values(["at", "wrapper"])
+    whole = None
+    for text in group["wrapper"]:
+        made = Node.made_of(json.loads(text))
+        whole = made if whole is None else merge(whole, made)
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "at": [group["part"].iloc[0]], "wrapper": [json.dumps(whole.listed(), separators=(",", ":"))]})
+
+
+def host_wrappers(pages: DataFrame) -> DataFrame:
+    """host and wrapper, aligned from all pages of the host in groups of about GROUP, then from those groups' wrappers, and so on."""
+    level = materialize(page_wrappers(pages), "page-wrappers")
+    while True:
+        counts = materialize(level.groupBy("host").agg(F.count("*").alias("n")), "host-counts")
+        most = counts.agg(F.max("n")).first()[0] or 0
+        rows = keyed_join(level, counts, "host", "at").withColumn("part", F.pmod("at", F.ceil(F.col("n") / GROUP)))
+        level = materialize(rows.groupBy("host", "part").applyInPandas(align, "host string, at long, wrapper string"), "aligned")
+        if most <= GROUP:
+            return level.select("host", "wrapper")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and rules, from PAGES pages of each host at most, no two alike."""
-    digest = F.xxhash64("html").alias("digest")
-    short = pages.where((F.octet_length("html") <= ALIGN_BYTES) & (F.col("html") != "") & F.col("page_id").isNotNull())
-    short = short.select(host_of(F.col("url")).alias("host"), "page_id", digest).groupBy("host", "digest").agg(F.min("page_id").alias("page_id"))
-    chosen = F.array(*(F.min_by(F.struct("page_id", "digest"), F.xxhash64("page_id", "digest", F.lit(i))) for i in range(PAGES)))
-    picked = short.groupBy("host").agg(F.array_distinct(chosen).alias("ids")).select("host", F.explode("ids").alias("id")).select("host", "id.*")
-    picked = materialize(picked, "picked-pages")
-    sample = pages.select(host_of(F.col("url")).alias("host"), "page_id", "html", digest).join(bounded_broadcast(picked), ["host", "page_id", "digest"])
-    sample = materialize(sample.dropDuplicates(["host", "page_id", "digest"]), "aligned-pages")
-
-    def wrapper(group: pd.DataFrame) -> Node:
-        return infer(group.sort_values(["page_id", "digest"])["html"].to_list())
-
-    def propose(group: pd.DataFrame) -> pd.DataFrame:
-        node = wrapper(group)
-        rules = rules_of(node)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "rules": [rules.packed() if rules.constant else None], "marked": [rules.marked]})
-
-    def inferred(group: pd.DataFrame) -> pd.DataFrame:
-        agreed = group["agreed"].iloc[0]
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "rules": [rules_of(wrapper(group), json.loads(agreed) if agreed else {}).packed()]})
-
-    proposed = materialize(sample.groupBy("host").applyInPandas(propose, "host string, rules string, marked boolean"), "proposed")
+    """host and rules, from all pages of each host."""
+    found = host_wrappers(pages)
+
+    def propose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [rules_of(Node.made_of(json.loads(text))) for text in frame["wrapper"]]
+            yield pd.DataFrame({"host": frame["host"], "rules": [r.packed() if r.constant else None for r in made], "marked": [r.marked for r in made]})
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [rules_of(Node.made_of(json.loads(text)), json.loads(agreed) if agreed else {}) for text, agreed in zip(frame["wrapper"], frame["agreed"])]
+            yield pd.DataFrame({"host": frame["host"], "rules": [r.packed() for r in made]})
+
+    proposed = materialize(found.mapInPandas(propose, "host string, rules string, marked boolean"), "proposed")
     agreed = materialize(confirmed(pages, proposed), "agreed")
-    return sample.join(bounded_broadcast(agreed), "host", "left").groupBy("host").applyInPandas(inferred, "host string, rules string")
+    return found.join(bounded_broadcast(agreed), "host", "left").mapInPandas(decide, "host string, rules string")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -93,3 +93,12 @@ def test_clashing_columns(spark):
     pages = spark.createDataFrame([row, row], "page_id long, url string, html string, host string, rules string, text string")
     assert [tuple(r) for r in html.extract_pages(pages).collect()] == [(1, "http://a/1", "x", 1)] * 2
     assert html.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_every_page_of_a_host_is_aligned(spark):
+    """More pages than one group holds; few have the notice, and all of the second host are long."""
+    r = random.Random(6)
+    rare = [soup(r, i, notice=i % 25 == 0) for i in range(200)]
+    long = [soup(r, i) for i in range(8)]
+    found = run(spark, [("rare", p) for p, _ in rare] + [("long", f"<!--{'x' * 300_000}-->{p}") for p, _ in long])
+    assert found == [t for _, t in rare + long]
