@@ -6,8 +6,8 @@
 4. secrets          secrets in texts are replaced
 5. sentencepiece    texts become piece ids
 
-Every stage has Spark hand its Python workers small Arrow batches (the session keeps that setting), as executors carry memory
-from one stage to the next. The first four return the columns of documents. Nulls, empty and repeated rows are handled as the operators state it.
+Executors carry memory from one stage to the next. So every stage has Spark hand its Python workers small Arrow batches (the session
+keeps that setting) and begins with heaps freed of what the stage before it left. The first four return the columns of documents. Nulls, empty and repeated rows are handled as the operators state it.
 """
 
 from __future__ import annotations
@@ -15,31 +15,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, jaccard_join, pieces, quality, secrets
-from tessera.llm.shared import materialize, read_table, small_batches
+from tessera.llm.shared import materialize, read_table, shrink_heaps, small_batches
 
 
-def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
     small_batches(spark)
+    shrink_heaps(spark)
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return jaccard_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return decontamination.keep_uncontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return secrets.redact_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return pieces.encode_documents(docs)
 
 

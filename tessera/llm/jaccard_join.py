@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import shared
 from tessera.llm.components import components
-from tessera.llm.shared import bounded_broadcast, discard, keyed_join, materialize, slices, unused
+from tessera.llm.shared import bounded_broadcast, discard, keyed_join, lean, materialize, slices, unused
 from tessera.llm.shingles import batch_sets, mix
 
 #: Links need 100 * intersection >= PERCENT * union.
@@ -69,6 +69,7 @@ def frequent_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     share = min(1.0, max(ORDER_SHARE, ORDER_DOCUMENTS / max(1, documents.count())))
     sample = _texts(documents).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
+    @lean
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = list(batch_sets(batch.column("text")))
@@ -90,6 +91,7 @@ def signatures(documents: DataFrame, last: tuple[np.ndarray, np.ndarray]) -> Dat
     """
     order = documents.sparkSession.sparkContext.broadcast(last)
 
+    @lean
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, places = order.value
         maybe = np.zeros(1 << 22, dtype=bool)
@@ -148,6 +150,7 @@ def fetch_sets(documents: DataFrame, signed: DataFrame, nodes: DataFrame) -> Dat
     one = materialize(one.join(nodes, "node", "left_semi"), "set-sources")
     texts = _texts(documents).join(bounded_broadcast(one), F.col("doc_id").eqNullSafe(F.col("key"))).select("node", "text")
 
+    @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             names, sizes, sets = [], [], []
@@ -184,6 +187,7 @@ def likely(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     for c in "ab":
         sized = sized.join(heads.select(F.col("node").alias(c), F.col("head").alias(f"h{c}")), c)
 
+    @lean
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             (x, ends_x), (y, ends_y) = (
@@ -202,6 +206,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
 
+    @lean
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()

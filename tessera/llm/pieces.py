@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import slices, unused
+from tessera.llm.shared import lean, slices, unused
 
 MARK = "▁"
 #: Where the public vocabulary file is looked for if no path is given.
@@ -302,6 +302,7 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
     path = path or model_path()
     kind = dict(documents.dtypes)["doc_id"]
 
+    @lean
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in slices(batches):
@@ -323,6 +324,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     text = unused("text", encoded.columns)
     schema = encoded.withColumn(text, F.lit(None).cast("string")).schema
 
+    @lean
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _encoder(path).decode
         for batch in slices(batches):

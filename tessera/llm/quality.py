@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import slices, unused
+from tessera.llm.shared import lean, slices, unused
 
 BLOCK = 2048
 LEVEL = 3
@@ -143,6 +143,7 @@ def with_scores(documents: DataFrame, model: CompressionModel, score: str, *keep
     rows = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias(whole))
     schema = documents.select(*keep, F.lit(0.0).alias(score)).schema
 
+    @lean
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
         for batch in slices(batches):

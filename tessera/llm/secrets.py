@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import slices
+from tessera.llm.shared import lean, slices
 
 # The base patterns, their least lengths, and the order of kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -303,6 +303,7 @@ def learn(documents: DataFrame) -> Grammars:
     share = min(1.0, FIT_DOCUMENTS / max(1, documents.count()))
     sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
+    @lean
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, set] = {label: set() for label in _KEPT}
         for batch in slices(batches):
@@ -378,6 +379,7 @@ def find_secrets(documents: DataFrame, grammars: Grammars | None = None) -> Data
         values = [_assign.match(text, a)[2] if kind == "assign" else text[a:b] for a, b, kind in found]
         return [dict(zip(("start", "end", "kind", "score"), (*span, shared.value.best(v)))) for span, v in zip(found, values)]
 
+    @lean
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = [scored(t) for t in batch.column("text").to_pylist()]
@@ -420,6 +422,7 @@ def redact_documents(documents: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(learn(documents))
     place = documents.columns.index("text")
 
+    @lean
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [None if t is None else redact(t, all_spans(t, shared.value)) for t in batch.column(place).to_pylist()]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,39 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SLICE_ROWS)
 
 
+def return_memory() -> None:
+    """Give what Arrow and the C library hold free back to the system; where the library cannot, it stays."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, a function for mapInArrow, so that its worker holds no free memory between batches and after the task.
+
+    A worker serves the tasks of later stages too, and what it keeps counts beside the executor's heap, which has grown by then.
+    """
+
+    @wraps(work)
+    def returning(batches: Iterator) -> Iterator:
+        for batch in work(batches):
+            yield batch
+            del batch
+            return_memory()
+        return_memory()
+
+    return returning
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, after which a JVM gives the part of its heap that it no longer needs back to the system.
+
+    One short task for each core that Spark counts; an executor that gets none of them keeps its heap as it is.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 #: Rows up to which a table of a few numbers is broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 

@@ -88,3 +88,27 @@ def test_stages_hand_workers_small_batches(spark, folder, name):
     sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "id", pa.array([len(b)])) for b in batches), "id long")
     assert max(r["id"] for r in sizes.collect()) <= shared.SLICE_ROWS
     spark.conf.unset(setting)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_begin_with_heaps_freed(spark, folder, name):
+    def whole_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = whole_collections()
+    dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert whole_collections() > before
+
+
+def test_workers_return_memory_after_each_batch_and_task(monkeypatch):
+    made, returned = [], []
+    monkeypatch.setattr(shared, "return_memory", lambda: returned.append(len(made)))
+
+    @shared.lean
+    def work(batches):
+        for b in batches:
+            made.append(b)
+            yield b
+
+    assert list(work(iter("ab"))) == ["a", "b"] and returned == [1, 2, 2]
